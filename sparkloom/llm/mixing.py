@@ -1,7 +1,7 @@
 """Mixing sources to target weights: a multivariate-hypergeometric splitting tree over permuted blocks.
 
 Each source is dealt by hash into BLOCKS blocks, which a hash permutes. A source takes whole passes, then permuted blocks
-up to its target, the last of them by document. The tree splits the vector of block quotas among output shards: at each node the left half's share is
+up to its target, the last of them by document, and the one document that comes nearest to what is left. The tree splits the vector of block quotas among output shards: at each node the left half's share is
 drawn without replacement, so quotas stay exact at every level. A shard's blocks are disjoint runs of the permuted order;
 its documents are ordered by hash within it. Only source totals (a row a source) reach the driver. Every choice is a hash of ids
 and a seed, so reruns and recomputed tasks agree.
@@ -57,7 +57,7 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_words: int = 50_000_000, seed: int = 7, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_words: int = 5_000_000, seed: int = 7, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, draws (array of copy and shard; one entry a time it is taken).
 
     Sources by code point, null last, get `weights` in turn. Null text has size 0. Documents without words are drawn with
@@ -69,7 +69,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size"),
             F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col)).alias("at"),
-        )
+        ).withColumn("row", F.monotonically_increasing_id())
     )
     count = max(BLOCKS, 1 << (sized.count() // BLOCK_ROWS).bit_length())
     sized = sized.withColumn("block", F.pmod(F.shiftright("at", 20), F.lit(count)))
@@ -103,13 +103,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             'shard', cast(size(filter(ends, x -> x <= place + c * n_blocks)) as bigint), 'whole', c < passes OR part = 2))""").alias("drawn"),
     )
     both = sized.join(placed, sized["source"].eqNullSafe(F.col("of_source")) & (F.col("block") == F.col("of_block")))
-    edge = Window.partitionBy("source", "block").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    at_edge = both.filter("part = 1").withColumn("near", F.col("before") + F.sum("size").over(edge) - F.col("size") / 2 <= F.col("rest"))
-    columns = ["doc_id", "size", "source_size", "target"]
-    draws = F.transform("drawn", lambda x: F.struct(x["copy"].alias("copy"), x["shard"].alias("shard"))).alias("draws")
-    whole = both.filter("part <> 1").select(*columns, draws, "at")
-    cut = at_edge.withColumn("drawn", F.filter("drawn", lambda x: x["whole"] | F.col("near"))).select(*columns, draws, "at")
-    return whole.unionByName(cut)
+    edge = Window.partitionBy("source", "block").orderBy("at", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
+    at_edge = both.filter("part = 1").withColumn("fits", F.col("before") + F.sum("size").over(edge) <= F.col("rest"))
+    rows = written(both.filter("part <> 1").withColumn("fits", F.lit(True)).unionByName(at_edge))
+    # what whole documents leave of a source's target goes to the one document that comes nearest to it
+    gone = rows.filter("part = 2 OR (part = 1 AND fits)").groupBy("source").agg(F.sum("size").alias("gone"))
+    short = written(plan.join(gone, same(plan, gone), "left").select(plan["source"].alias("short_of"), (F.col("rest") - F.coalesce("gone", F.lit(0))).alias("short")))
+    idle = rows.filter("size > 0 AND (part = 0 OR (part = 1 AND NOT fits)) AND rest > 0").join(short, rows["source"].eqNullSafe(F.col("short_of")))
+    last = idle.filter(F.abs(F.col("size") - F.col("short")) < F.col("short")).groupBy("source").agg(F.min_by("row", F.struct(F.abs(F.col("size") - F.col("short")), "at", "row")).alias("last"))
+    last = last.select(F.col("last").alias("row"), F.lit(True).alias("extra"))
+    kept = rows.join(last, "row", "left").withColumn("extra", F.coalesce("extra", F.lit(False)))
+    draws = F.expr("""transform(filter(drawn, x -> x.whole OR part <> 1 OR fits OR extra), x -> named_struct('copy', x.copy, 'shard', x.shard))""")
+    more = F.expr("array(named_struct('copy', cast(size(drawn) as int), 'shard', cast(coalesce(get(drawn, size(drawn) - 1).shard, 0) as bigint)))")
+    # an extra document of a block that its pass leaves out has no shard of its own yet: the shard of its last draw, or the first
+    return kept.select("doc_id", "size", "source_size", "target", F.when(F.col("extra") & (F.col("part") == 0), F.concat(draws, more)).otherwise(draws).alias("draws"), "at")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -117,10 +124,11 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
     Rows that repeat an id share the draws of one of them.
     """
-    draws = mix(docs, id_col, **options).filter(F.size("draws") > 0).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("mx_id"), "draws", "at")
-    out = docs.join(draws, docs[id_col].eqNullSafe(draws["mx_id"])).withColumn("mx_draw", F.explode("draws"))
-    at = F.xxhash64("at", F.col("mx_draw.copy"))
-    return out.withColumn("mx_at", at).sortWithinPartitions("mx_draw.shard", "mx_at").select(*(docs[c] for c in docs.columns))
+    draws = mix(docs, id_col, **options).filter(F.size("draws") > 0).dropDuplicates(["doc_id"])
+    draws = draws.select(F.col("doc_id").alias("mx_id"), F.explode("draws").alias("mx_draw"), "at")
+    draws = draws.select("mx_id", "mx_draw", F.xxhash64("at", "mx_draw.copy").alias("mx_at"))
+    out = docs.join(draws, docs[id_col].eqNullSafe(draws["mx_id"]))
+    return out.repartition(F.col("mx_draw.shard")).sortWithinPartitions("mx_draw.shard", "mx_at").select(*(docs[c] for c in docs.columns))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,13 +111,14 @@ def distance(a: str, b: str) -> Column:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and root (the least node reachable) of every node in links, by alternating large-star and small-star steps.
 
-    Steps exchange narrow rows only; each ends in a written table. Stops when a step changes nothing.
+    Steps exchange narrow rows only. Minima are written before they are joined back, so that a join's sides are plain
+    exchanges, which adaptive execution splits where a node has many links. Stops when a step changes nothing.
     """
     edges = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         kept = least.filter("m < u").select("u", F.col("m").alias("v"))
         large = large.unionByName(kept).distinct()
@@ -158,7 +159,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     degree = members.groupBy("rep").agg(F.sum(F.col("n") - 1).alias("degree"))
     ranked = written(members.join(degree, "rep"))
     order = F.struct("degree", -F.col("rep"))
-    hubs = ranked.groupBy("key").agg(F.max_by("rep", order).alias("hub"), F.max(order).alias("rank"))
+    hubs = written(ranked.groupBy("key").agg(F.max_by("rep", order).alias("hub"), F.max(order).alias("rank")))
     meets = ranked.join(hubs, "key").filter("rep <> hub").groupBy("rep").agg(F.max_by("hub", "rank").alias("hub"))
     involved = written(ranked.select("rep").distinct())
     wanted = bitmap(involved, "rep", involved.count())
@@ -168,7 +169,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = written(components(links))
     links = links.unionByName(across(ranked, reps, sets, first, percent))
     final = components(links).select(F.col("node").alias("rep"), "root")
-    of_class = classes.select("digest", "rep").join(final, "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
+    of_class = written(classes.select("digest", "rep").join(final, "rep", "left").select("digest", F.coalesce("root", "rep").alias("root")))
     out = every.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.coalesce("root", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
@@ -179,7 +180,7 @@ def across(members: DataFrame, reps: DataFrame, sets: DataFrame, roots: DataFram
     labels = roots.select(F.col("node").alias("rep"), "root")
     labelled = members.select("key", "rep").join(labels, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     split = written(labelled.groupBy("key", "root").agg(F.count("*").alias("n")))
-    open_keys = split.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("roots > 1")
+    open_keys = written(split.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("roots > 1"))
     inside = written(labelled.join(open_keys.select("key", "main"), "key"))
     # a shingle that no other document of an open key has is no part of any link
     docs = inside.select("rep").distinct()

@@ -6,7 +6,10 @@ from sparkloom.llm.bpe import op9_bpe
 from sparkloom.llm.exact_dedup import SQL as OP1
 from sparkloom.llm.exact_dedup import op1_exact_dedup
 from sparkloom.llm.mixing import op10_mixing
+from sparkloom.llm.near_dedup import SQL as OP3
+from sparkloom.llm.near_dedup import op3_near_dedup
 from sparkloom.llm.pii import op2_pii
+from sparkloom.llm.toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_pii, op9_bpe, op10_mixing)}
-ORACLES = {"op1_exact_dedup": OP1}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_pii, op3_near_dedup, op5_toxicity, op9_bpe, op10_mixing)}
+ORACLES = {"op1_exact_dedup": OP1, "op3_near_dedup": OP3}

@@ -19,6 +19,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: All but letters: what parts the words that lexicons hold.
+OTHER = np.ones(256, dtype=bool)
+OTHER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -41,11 +44,11 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
 class Words:
     """Words of some documents: their byte bounds, the document of each and, for each document, its first word."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE):
         self.data, self.offsets, self.docs = LOWER[data], offsets, len(offsets) - 1
         n = len(data)
         if n:
-            solid = ~SPACE[data]
+            solid = ~gap[data]
             cut = np.zeros(n + 1, dtype=bool)
             cut[offsets] = True
             before = np.empty(n, dtype=bool)
@@ -108,7 +111,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
+def slices(column: pa.Array, gap: np.ndarray = SPACE) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, words) over runs of rows of about SLICE bytes."""
     if not len(column):
         return
@@ -116,5 +119,5 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
     at = 0
     while at < len(column):
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1)
-        yield at, end, Words(raw[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
+        yield at, end, Words(raw[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], gap)
         at = end
