@@ -58,9 +58,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with their columns as they came; of rows that repeat an id one stays."""
-    stay = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("keep_id").alias("dd_keep")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["dd_keep"]), "left_semi").dropDuplicates([id_col])
+    """The documents that stay, with their columns as they came. Of rows that repeat an id and text one stays."""
+    gone = exact_dedup(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("dd_gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["dd_gone"], "left_anti").dropDuplicates([id_col, text_col])
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

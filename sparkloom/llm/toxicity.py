@@ -249,15 +249,30 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         find = Finder(model.known)
         for batch in batches:
             for lo, hi, raw, words in _texts(batch["text"]):
-                doc, at = find(words)
-                total = np.bincount(doc, model.weights[at], minlength=hi - lo) if len(at) else np.zeros(hi - lo)
-                shape = ((patterns(raw, words) - model.centre) / model.scale).clip(-3, 3)
-                total = total + shape @ model.shape + model.bias
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), pa.array(_scores(model, find, raw, words))], names=["doc_id", "score"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, schema)
 
 
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.3) -> DataFrame:
+    """The documents, columns as they came, whose score is below the limit."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Finder(model.known)
+        for batch in batches:
+            for lo, hi, raw, words in _texts(batch[text_col]):
+                yield batch.slice(lo, hi - lo).filter(pa.array(_scores(model, find, raw, words) < limit))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
+def _scores(model: Model, find: Finder, raw: np.ndarray, words: Words) -> np.ndarray:
+    doc, at = find(words)
+    total = np.bincount(doc, model.weights[at], minlength=words.docs) if len(at) else np.zeros(words.docs)
+    shape = ((patterns(raw, words) - model.centre) / model.scale).clip(-3, 3)
+    return 1 / (1 + np.exp(-np.clip(total + shape @ model.shape + model.bias, -30, 30)))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
