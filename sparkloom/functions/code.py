@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TYPE_KINDS = ("class", "interface", "struct", "enum", "record")
 _BEFORE_TYPE = {"new", "typeof", "nameof", "is", "as"}
@@ -77,17 +78,17 @@ def type_shaped(code: str, name: str) -> bool:
     return False
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_callers_udf(line: pd.Series) -> pd.Series:
     return line.fillna("").map(strip_for_callers)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_dependencies_udf(line: pd.Series) -> pd.Series:
     return line.fillna("").map(strip_for_dependencies)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_reference_udf(code: pd.Series, name: pd.Series, namespace: pd.Series, kind: pd.Series) -> pd.Series:
     rows = zip(code, name, namespace, kind, strict=True)
     return pd.Series([refers(c, n, s) and (k not in TYPE_KINDS or type_shaped(c, n)) for c, n, s, k in rows], dtype=bool)

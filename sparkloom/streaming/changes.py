@@ -32,7 +32,9 @@ def sessions(events: DataFrame, gap: str = "1500 milliseconds", ts: str = "ts",
     if late:
         events = events.withWatermark(ts, late)
     window = F.session_window(ts, gap)
-    return events.groupBy(window, *by).agg(F.count("*").alias("events")).select(*by, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
+    # a stream's session windows need a key beside them: without one, all events share it
+    events = events.withColumn("all", F.pmod(F.xxhash64(ts), F.lit(1)))
+    return events.groupBy(window, *(by or ("all",))).agg(F.count("*").alias("events")).select(*by, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
 
 
 def gap_sessions(events: DataFrame, gap_ms: int, key: str, ts: str = "ts") -> DataFrame:
