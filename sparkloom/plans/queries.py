@@ -614,7 +614,18 @@ def module_central(s, d):
     return modules.central_files(_members(s, d), _file_deps(s, d), V.symbols(_lines(s, d)))
 
 
-@query()
+_LIFE = "(" + ", ".join(f"'{w}'" for w in modules.LIFECYCLE) + ")"
+_NOUNS = " + ".join(f"CASE WHEN contains(lower(name), '{w}') THEN 3 ELSE 0 END" for w in modules.NOUNS)
+ENTRIES = f"""{SYMBOLS}, members AS (SELECT path, split_part(path, '/', 1) AS module FROM files),
+es AS (SELECT module, name, path, line_start, (CASE WHEN lower(name) IN {_LIFE} THEN 4 ELSE 0 END + CASE WHEN starts_with(lower(name), 'on') OR starts_with(lower(name), 'handle') THEN 3 ELSE 0 END
+  + CASE WHEN regexp_matches(lower(path), '(^|/)(controllers?|services?|api|handlers?)/') THEN 2 ELSE 0 END + {_NOUNS} + 1)::BIGINT AS score FROM symbols JOIN members USING (path)),
+entries AS (SELECT module, name, path, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY score DESC, name, path, line_start) AS rank FROM es) WHERE rank <= 5)"""
+
+
+@query(f"""WITH {ENTRIES}, {FILE_DEPS}, b AS (SELECT x.module AS ma, y.module AS mb FROM deps JOIN members x ON x.path = src JOIN members y ON y.path = dst),
+f AS (SELECT module, count(*) AS files FROM members GROUP BY 1), t AS (SELECT module, sum(i) AS inside, sum(o) AS outside FROM (SELECT ma AS module, (ma = mb)::INT AS i, (ma <> mb)::INT AS o FROM b UNION ALL SELECT mb, 0, 1 FROM b WHERE ma <> mb) GROUP BY 1),
+e AS (SELECT module, count(*) AS n FROM entries GROUP BY 1), c AS (SELECT module, files, coalesce(inside, 0) AS i, coalesce(outside, 0) AS o, coalesce(n, 0) AS n FROM f LEFT JOIN t USING (module) LEFT JOIN e USING (module))
+SELECT module, files, round(greatest(0.0, least(1.0, 0.35 * round(CASE WHEN i + o = 0 THEN 1.0 ELSE i / (i + o) END, 6) + least(ln(1 + files) / 5, 0.35) + least(0.03 * n, 0.15) + CASE WHEN o > 0 THEN 0.05 ELSE 0.0 END))::DOUBLE, 6) AS confidence FROM c""")
 def module_confidence(s, d):
     members = _members(s, d)
     return modules.confidence(modules.edge_counts(members, _file_deps(s, d)), modules.entry_points(V.symbols(_lines(s, d)), members))
@@ -625,7 +636,7 @@ def module_path_roots(s, d):
     return modules.path_roots(_members(s, d))
 
 
-@query()
+@query(f"WITH {ENTRIES} SELECT * FROM entries")
 def entry_points(s, d):
     return modules.entry_points(V.symbols(_lines(s, d)), _members(s, d))
 
