@@ -7,8 +7,9 @@ standard deviations below RADIUS.
 
 No group of copies is expanded into pairs. Equal sets become one representative. Each representative is first compared with
 one hub, the document that shares most keys, of the groups it is in; connected components of those links settle nearly all
-groups. Only where a key still holds several components are pairs across them formed, within the radius, of texts that enough
-shared shingles make possible at all, so no link between components is lost.
+groups. Where a key still holds several components, documents outside its main one meet that one's most central member. Pairs are
+formed only across what components are left, within the radius, where shingles that others share make a link possible at all; so no
+link between components is lost.
 """
 
 from __future__ import annotations
@@ -151,7 +152,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every = written(sketch(docs, id_col, text_col))
     classes = written(every.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min_by(F.struct("n_shingles", "sig"), "doc_id").alias("of"), F.min("doc_id").alias("rep")))
     reps = classes.select("rep", "of.n_shingles", "of.sig")
-    keyed = reps.select("rep", F.explode(F.array(*chunk_keys())).alias("key"))
+    keyed = reps.select("rep", F.posexplode(F.array(*chunk_keys())).alias("slot", "key"))
     shared = written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     marks = bitmap(shared, "key", shared.count())
     members = written(maybe_in(keyed, F.col("key"), marks).join(shared, "key"))
@@ -166,8 +167,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = maybe_in(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), F.col("doc_id"), wanted)
     sets = written(shingle_sets(some, "doc_id", "text").join(involved, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]))
     links = written(confirmed(meets.select(F.col("rep").alias("a"), F.col("hub").alias("b")), sets, percent))
-    first = written(components(links))
-    links = links.unionByName(across(ranked, reps, sets, first, percent))
+    members = ranked.select("key", "slot", "rep")
+    held = open_members(members, components(links))
+    able = written(linkable(held, reps, sets, percent))
+    links = written(links.unionByName(confirmed(central_pairs(held, able), sets, percent)))
+    held = open_members(held.select("key", "slot", "rep"), components(links))
+    links = links.unionByName(confirmed(crossing_pairs(held, able, percent), sets, percent))
     final = components(links).select(F.col("node").alias("rep"), "root")
     of_class = written(classes.select("digest", "rep").join(final, "rep", "left").select("digest", F.coalesce("root", "rep").alias("root")))
     out = every.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
@@ -175,28 +180,58 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def across(members: DataFrame, reps: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links between documents that share a key but no component yet."""
+def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, slot, rep, root and main (the component with most members) for keys that hold several components."""
     labels = roots.select(F.col("node").alias("rep"), "root")
-    labelled = members.select("key", "rep").join(labels, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    split = written(labelled.groupBy("key", "root").agg(F.count("*").alias("n")))
-    open_keys = written(split.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("roots > 1"))
-    inside = written(labelled.join(open_keys.select("key", "main"), "key"))
-    # a shingle that no other document of an open key has is no part of any link
-    docs = inside.select("rep").distinct()
-    held = sets.join(docs, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), F.explode("shingles").alias("s"))
-    common = held.groupBy("s").agg(F.count("*").alias("docs"), F.min("rep").alias("first")).filter("docs = 1")
-    lonely = common.groupBy(F.col("first").alias("rep")).agg(F.count("*").alias("lonely"))
-    able = docs.join(lonely, "rep", "left").join(reps, "rep")
-    able = written(able.filter(100 * (F.col("n_shingles") - F.coalesce("lonely", F.lit(0))) >= percent * F.col("n_shingles")).select("rep", "n_shingles", "sig"))
-    alive = inside.join(able, "rep")
-    one = alive.filter("root <> main").select("key", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("main").alias("main"), F.col("n_shingles").alias("na"), F.col("sig").alias("siga"))
-    two = alive.select(F.col("key").alias("key2"), F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sigb"))
-    once = (F.col("rb") == F.col("main")) | (F.col("ra") < F.col("rb"))
-    sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    pairs = one.join(two, (F.col("key") == F.col("key2")) & (F.col("ra") != F.col("rb")) & once & sized & (distance("siga", "sigb") <= RADIUS))
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return confirmed(pairs, sets, percent)
+    labelled = written(members.join(labels, "rep", "left").withColumn("root", F.coalesce("root", "rep")))
+    split = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
+    keys = split.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("roots > 1")
+    return written(labelled.join(written(keys.select("key", "main")), "key"))
+
+
+def linkable(held: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """rep, n_shingles, sig and lonely of documents that can have a link to another component.
+
+    lonely counts shingles that no other document of an open key has: they are no part of any such link's intersection.
+    """
+    docs = held.select("rep").distinct()
+    each = sets.join(docs, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), F.explode("shingles").alias("s"))
+    alone = each.groupBy("s").agg(F.count("*").alias("docs"), F.min("rep").alias("rep")).filter("docs = 1")
+    lonely = alone.groupBy("rep").agg(F.count("*").alias("lonely"))
+    out = docs.join(lonely, "rep", "left").join(reps, "rep").select("rep", "n_shingles", "sig", F.coalesce("lonely", F.lit(0)).cast("bigint").alias("lonely"))
+    return out.filter(100 * (F.col("n_shingles") - F.col("lonely")) >= percent * F.col("n_shingles"))
+
+
+def central_pairs(held: DataFrame, able: DataFrame) -> DataFrame:
+    """(a, b): each document outside its keys' main components and, of these components' members, the least lonely one."""
+    share = able.select("rep", (F.col("lonely") / F.col("n_shingles")).alias("share"))
+    alive = held.join(share, "rep")
+    hubs = written(alive.filter("root = main").groupBy("key").agg(F.min_by("rep", F.struct("share", "rep")).alias("hub"), F.min("share").alias("least")))
+    return alive.filter("root <> main").join(hubs, "key").groupBy(F.col("rep").alias("a")).agg(F.min_by("hub", F.struct("least", "hub")).alias("b"))
+
+
+def crossing_pairs(held: DataFrame, able: DataFrame, percent: int) -> DataFrame:
+    """All (a, b) of different components that share a key, lie within RADIUS and whose lonely shingles leave a link possible."""
+    value = F.expr("shiftright(get(sig, cast(slot div 4 as int)), cast(16 * (slot % 4) as int)) & 65535")
+    alive = held.join(able, "rep").withColumn("out", value)
+    one = alive.filter("root <> main").select("key", "slot", "main", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"), F.col("lonely").alias("la"), F.col("sig").alias("siga"), F.col("out").alias("oa"))
+    two = alive.select(F.col("key").alias("key2"), F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"), F.col("lonely").alias("lb"), F.col("sig").alias("sigb"), F.col("out").alias("ob"))
+    starts = [c * POSITIONS // CHUNKS for c in range(CHUNKS)]
+    spans = ", ".join(f"named_struct('first', {a}, 'last', {b - 1})" for a, b in zip(starts, [*starts[1:], POSITIONS], strict=True))
+    errors = "size(filter(sequence(c.first, c.last), k -> (shiftright(get(siga, cast(k div 4 as int)) ^ get(sigb, cast(k div 4 as int)), cast(16 * (k % 4) as int)) & 65535) <> 0))"
+    pairs = one.join(
+        two,
+        (F.col("key") == F.col("key2"))
+        & (F.col("ra") != F.col("rb"))
+        & ((F.col("rb") == F.col("main")) | (F.col("ra") < F.col("rb")))
+        # equal chunks share all their keys: the first one is enough
+        & ((F.col("oa") != F.col("ob")) | F.col("slot").isin(*starts))
+        & (100 * F.least(F.col("na") - F.col("la"), F.col("nb") - F.col("lb")) >= percent * F.greatest(F.col("na") + F.col("lb"), F.col("nb") + F.col("la")))
+        & (distance("siga", "sigb") <= RADIUS)
+        # and so is the first chunk that tolerates the pair
+        & F.expr(f"forall(array({spans}), c -> c.last >= slot OR {errors} >= 2)"),
+    )
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
