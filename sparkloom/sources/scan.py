@@ -12,7 +12,7 @@ from sparkloom.functions import text as X
 from sparkloom.functions.globs import glob_to_regex, ignore_rules
 
 # Folders that are never scanned, and what a scan reads if nothing else is asked for.
-SKIPPED = (".git", ".hg", ".svn", ".codedb", ".idea", ".vs", ".vscode", "node_modules")
+SKIPPED = (".git", ".hg", ".svn", ".idea", ".vs", ".vscode", "node_modules")
 EXTENSIONS = tuple(X.LANGUAGES)
 #: A zero byte among the first so many marks a binary file.
 BINARY_HEAD = 8192
