@@ -47,9 +47,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # a document that no level joins to another is its own group and needs no exchange
     alone = flat.filter(~F.col("open")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     open_rows = flat.filter("open")
-    groups = open_rows.groupBy("text_sha256").agg(
-        F.count("*").alias("group_size"),
-        F.max_by("doc_id", F.struct("points", -F.col("doc_id"))).alias("keep_id"),
+    groups = written(
+        open_rows.groupBy("text_sha256").agg(
+            F.count("*").alias("group_size"),
+            F.max_by("doc_id", F.struct("points", -F.col("doc_id"))).alias("keep_id"),
+        )
     )
     shared = open_rows.join(groups, "text_sha256").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
