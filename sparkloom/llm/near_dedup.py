@@ -2,7 +2,7 @@
 
 A signature has POSITIONS values of 16 bits. Two signatures that differ in at most RADIUS positions must, by pigeonhole,
 differ in at most one position of some chunk; so each chunk yields a key for every position that is left out, and every pair
-within the radius shares a key. At the link threshold of 0.85 a pair's distance averages 0.15 * POSITIONS, over four
+within the radius shares a key. At the link threshold of 0.85 a pair's distance averages 0.15 * POSITIONS, about four
 standard deviations below RADIUS.
 
 No group of copies is expanded into pairs. Equal sets become one representative. Each representative is first compared with
