@@ -22,7 +22,9 @@ from sparkloom.llm.tables import table
 # Fixed values of the WARC 1.1 format and of HTML.
 VERSION, STAMP = "WARC/1.1", "2024-01-01T00:00:00Z"
 BLOCKS = "address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul title".split()
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|</?([a-zA-Z][a-zA-Z0-9]*)([^>]*)>", re.S | re.I)
+RAW = ("script", "style", "noscript", "template")
+_MARK = re.compile(r"<(?:!--|[!?][^>]*>|/?([a-zA-Z][a-zA-Z0-9]*)([^>]*)>)")
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _LANG = re.compile(r"""<html\b[^>]*\blang\s*=\s*["']?([A-Za-z-]+)""", re.I)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
@@ -77,33 +79,43 @@ def http_parts(block: bytes) -> tuple[str, dict[str, str], bytes]:
     return status.decode("latin-1"), _fields(fields), payload
 
 
-def plain_text(page: str) -> str:
-    """Text outside markup: scripts, styles and comments go, block elements break lines, entities are resolved."""
-    out, at = [], 0
-    for m in _MARK.finditer(page):
+def read_page(page: str, base: str = "") -> tuple[str, list[str]]:
+    """Text outside markup and distinct absolute targets of anchors, in order, from one pass.
+
+    Scripts, styles and comments go, block elements break lines, entities are resolved.
+    """
+    out, found, at = [], {}, 0
+    while m := _MARK.search(page, at):
         out.append(page[at : m.start()])
-        at = m.end()
-        if m[2] and m[2].lower() in _BLOCKS:
+        at, name = m.end(), m[1]
+        if name is None:
+            if m[0] == "<!--":
+                end = page.find("-->", at)
+                at = len(page) if end < 0 else end + 3
+            continue
+        name = name.lower()
+        if name in _BLOCKS:
             out.append("\n")
+        elif name in _CLOSE:
+            if page[m.start() + 1] != "/":
+                end = _CLOSE[name].search(page, at)
+                at = end.end() if end else len(page)
+        elif name == "a" and (h := _HREF.search(m[2])):
+            target = html.unescape(next(x for x in h.groups() if x is not None)).strip()
+            try:
+                found[urljoin(base, target)] = None
+            except ValueError:
+                found[target] = None
     out.append(page[at:])
     text = html.unescape("".join(out))
-    return _LINES.sub("\n", _SPACES.sub(" ", text)).strip()
+    return _LINES.sub("\n", _SPACES.sub(" ", text)).strip(), list(found)
 
 
 _BLOCKS = frozenset(BLOCKS)
 
 
-def links(page: str, base: str) -> list[str]:
-    """Distinct absolute targets of anchors, in order."""
-    seen = {}
-    for m in _MARK.finditer(page):
-        if m[2] and m[2].lower() == "a" and (h := _HREF.search(m[3])):
-            target = html.unescape(next(x for x in h.groups() if x is not None)).strip()
-            try:
-                seen[urljoin(base, target)] = None
-            except ValueError:
-                seen[target] = None
-    return list(seen)
+def plain_text(page: str) -> str:
+    return read_page(page)[0]
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -146,10 +158,11 @@ def derive(records: DataFrame) -> DataFrame:
                     page = payload.decode(charset[1] if charset else "utf-8", "replace")
                 except LookupError:
                     page = payload.decode("utf-8", "replace")
-                text, own = plain_text(page).encode("utf-8", "replace"), digest(payload)
+                text, targets = read_page(page, uri)
+                text, own = text.encode("utf-8", "replace"), digest(payload)
                 title, lang = _TITLE.search(page), _LANG.search(page)
                 facts = [("sourceStatus", status), ("title", plain_text(title[1]) if title else ""), ("language", lang[1] if lang else ""), ("textLength", str(len(text)))]
-                facts += [("outlink", x) for x in links(page, uri)]
+                facts += [("outlink", x) for x in targets]
                 meta = "".join(f"{k}: {re.sub(r'[\r\n]+', ' ', v)}\r\n" for k, v in facts).encode("utf-8", "replace")
                 shared = {"WARC-Date": headers.get("WARC-Date", STAMP), "WARC-Target-URI": uri, "WARC-Refers-To": source}
                 for kind, mime, data in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", text)):
