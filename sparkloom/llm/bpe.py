@@ -25,9 +25,9 @@ from sparkloom.llm.tables import table
 #: Code point of byte 0; the block has no white space or special code points.
 FIRST = 0x4E00
 #: Pre-tokens whose ids a worker remembers, and the longest of them in characters.
-REMEMBER, LONGEST = 400_000, 64
+REMEMBER, LONGEST = 120_000, 48
 #: Characters of text that are encoded before results leave a worker.
-CHUNK = 4_000_000
+CHUNK = 1_500_000
 
 
 def _varint(n: int) -> bytes:
