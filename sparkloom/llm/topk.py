@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from sparkloom.llm.tables import table, written
 
 BITS, SEGMENTS, K = 64, 4, 10
-#: Rows of a block.
-BLOCK = 8192
+#: Rows of a block, and the most partitions that blocks are dealt to.
+BLOCK, TASKS = 8192, 8192
 WIDTH = BITS // SEGMENTS
 
 
@@ -113,7 +113,9 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             out.append(pd.DataFrame({"query_id": query, "vec_id": ids[rows[best]], "distance": distances[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "distance": []}).astype("int64")
 
-    near = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(work, "query_id bigint, vec_id bigint, distance bigint")
+    # blocks are small in bytes but not in work: a partition each, which adaptive execution leaves apart
+    tasks = min(blocks, TASKS)
+    near = dealt.repartition(tasks, "block").groupBy("block").cogroup(asked.repartition(tasks, "block").groupBy("block")).applyInPandas(work, "query_id bigint, vec_id bigint, distance bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k)
 
