@@ -1,9 +1,9 @@
 """MinHash near-dedup: a multi-index Hamming join of b-bit signatures, then exact confirmation on full shingle sets.
 
-A signature has POSITIONS values of 16 bits. Two signatures that differ in at most RADIUS positions must, by pigeonhole,
+A signature has POSITIONS values of 16 bits. Two signatures that differ in at most radius(chunks) positions must, by pigeonhole,
 differ in at most one position of some chunk; so each chunk yields a key for every position that is left out, and every pair
-within the radius shares a key. At the link threshold of 0.85 a pair's distance averages 0.15 * POSITIONS, about four
-standard deviations below RADIUS.
+within the radius shares a key. chunks_for() takes as many chunks as the link threshold needs: at 0.85 a pair's distance averages
+0.15 * POSITIONS, about four standard deviations below the radius of CHUNKS chunks; lower thresholds take more chunks.
 
 No group of copies is expanded into pairs. Equal sets become one representative. Each representative is first compared with
 one hub, the document that shares most keys, of the groups it is in; connected components of those links settle nearly all
@@ -15,6 +15,7 @@ link between components is lost.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ from sparkloom.llm.words import mix, slices
 
 WIDTH = 5
 POSITIONS, CHUNKS = 48, 9
-#: Chunks tolerate one error each, so pigeonhole covers up to 2 * CHUNKS - 1.
-RADIUS = 2 * CHUNKS - 1
+#: How likely a pair at exactly the threshold may lie beyond the radius.
+MISS = 1.2e-4
 #: Every other lane of 16 bits, and the bits to which sums of such lanes carry.
 _LANES, _CARRY = 0x0000FFFF0000FFFF, 0x0001000000010000
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -37,6 +38,27 @@ _A = _rng.integers(0, 1 << 64, POSITIONS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 1 << 64, POSITIONS, dtype=np.uint64)
 
 
+def radius(chunks: int) -> int:
+    """Chunks tolerate one error each, so pigeonhole covers up to 2 * chunks - 1."""
+    return 2 * chunks - 1
+
+
+RADIUS = radius(CHUNKS)
+
+
+def chunks_for(percent: int) -> int:
+    """The fewest chunks, CHUNKS at least, with which a pair at the threshold is missed with a probability of MISS at most (binomial tail)."""
+    p = 1 - percent / 100
+    chunks = CHUNKS
+    while sum(math.comb(POSITIONS, k) * p**k * (1 - p) ** (POSITIONS - k) for k in range(radius(chunks) + 1, POSITIONS + 1)) > MISS:
+        chunks += 1
+    return chunks
+
+
+def chunk_starts(chunks: int) -> list[int]:
+    return [c * POSITIONS // chunks for c in range(chunks)]
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """16 bits of the least hash of each non-empty set, under each of POSITIONS hash functions."""
     out = np.empty((len(sets), POSITIONS), dtype=np.uint16)
@@ -89,12 +111,12 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, schema)
 
 
-def chunk_keys() -> list[Column]:
+def chunk_keys(chunks: int = CHUNKS) -> list[Column]:
     """A key for each chunk and position of it that is left out."""
     value = [F.shiftright(F.get("sig", F.lit(k // 4)), 16 * (k % 4)).bitwiseAND(F.lit(0xFFFF)) for k in range(POSITIONS)]
-    keys = []
-    for c in range(CHUNKS):
-        chunk = range(c * POSITIONS // CHUNKS, (c + 1) * POSITIONS // CHUNKS)
+    keys, starts = [], chunk_starts(chunks)
+    for first, end in zip(starts, [*starts[1:], POSITIONS], strict=True):
+        chunk = range(first, end)
         keys += [F.xxhash64(F.lit(out), *(value[k] for k in chunk if k != out)) for out in chunk]
     return keys
 
@@ -152,7 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every = written(sketch(docs, id_col, text_col))
     classes = written(every.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min_by(F.struct("n_shingles", "sig"), "doc_id").alias("of"), F.min("doc_id").alias("rep")))
     reps = classes.select("rep", "of.n_shingles", "of.sig")
-    keyed = reps.select("rep", F.posexplode(F.array(*chunk_keys())).alias("slot", "key"))
+    keyed = reps.select("rep", F.posexplode(F.array(*chunk_keys(chunks_for(percent)))).alias("slot", "key"))
     shared = written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     marks = bitmap(shared, "key", shared.count())
     members = written(maybe_in(keyed, F.col("key"), marks).join(shared, "key"))
@@ -211,12 +233,13 @@ def central_pairs(held: DataFrame, able: DataFrame) -> DataFrame:
 
 
 def crossing_pairs(held: DataFrame, able: DataFrame, percent: int) -> DataFrame:
-    """All (a, b) of different components that share a key, lie within RADIUS and whose lonely shingles leave a link possible."""
+    """All (a, b) of different components that share a key, lie within the radius and whose lonely shingles leave a link possible."""
     value = F.expr("shiftright(get(sig, cast(slot div 4 as int)), cast(16 * (slot % 4) as int)) & 65535")
     alive = held.join(able, "rep").withColumn("out", value)
     one = alive.filter("root <> main").select("key", "slot", "main", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"), F.col("lonely").alias("la"), F.col("sig").alias("siga"), F.col("out").alias("oa"))
     two = alive.select(F.col("key").alias("key2"), F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"), F.col("lonely").alias("lb"), F.col("sig").alias("sigb"), F.col("out").alias("ob"))
-    starts = [c * POSITIONS // CHUNKS for c in range(CHUNKS)]
+    chunks = chunks_for(percent)
+    starts = chunk_starts(chunks)
     spans = ", ".join(f"named_struct('first', {a}, 'last', {b - 1})" for a, b in zip(starts, [*starts[1:], POSITIONS], strict=True))
     errors = "size(filter(sequence(c.first, c.last), k -> (shiftright(get(siga, cast(k div 4 as int)) ^ get(sigb, cast(k div 4 as int)), cast(16 * (k % 4) as int)) & 65535) <> 0))"
     pairs = one.join(
@@ -227,16 +250,16 @@ def crossing_pairs(held: DataFrame, able: DataFrame, percent: int) -> DataFrame:
         # equal chunks share all their keys: the first one is enough
         & ((F.col("oa") != F.col("ob")) | F.col("slot").isin(*starts))
         & (100 * F.least(F.col("na") - F.col("la"), F.col("nb") - F.col("lb")) >= percent * F.greatest(F.col("na") + F.col("lb"), F.col("nb") + F.col("la")))
-        & (distance("siga", "sigb") <= RADIUS)
+        & (distance("siga", "sigb") <= radius(chunks))
         # and so is the first chunk that tolerates the pair
         & F.expr(f"forall(array({spans}), c -> c.last >= slot OR {errors} >= 2)"),
     )
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """One document of each group, with its columns; documents without words stay."""
-    gone = near_duplicates(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("nd_gone")).distinct()
+    gone = near_duplicates(docs, id_col, text_col, percent).filter("NOT kept").select(F.col("doc_id").alias("nd_gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["nd_gone"], "left_anti")
 
 

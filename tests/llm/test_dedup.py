@@ -77,6 +77,30 @@ def test_near_against_brute_force(spark):
     assert (got.kept == (got.doc_id == got.component_id)).all()
 
 
+def brute_kept(rows, percent):
+    """Ids that are the least of their group where pairs at the threshold link."""
+    sets, root = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return sorted(i for i in ids if root[i] == i)
+
+
+def test_keep_one_links_at_four_fifths(spark):
+    rows = [(i, t) for i, t in family() if t]
+    # pairs of 96 shingles each that share 86: 86 / 106 = 0.81
+    for k in range(300, 340, 2):
+        w = [f"p{k}x{n}" for n in range(100)]
+        rows += [(k, " ".join(w)), (k + 1, " ".join(["new" if n in (30, 60) else x for n, x in enumerate(w)]))]
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), percent=80)
+    assert sorted(r["doc_id"] for r in kept.collect()) == brute_kept(rows, 80) != brute_kept(rows, 85)
+    assert near_dedup.chunks_for(85) == near_dedup.CHUNKS < near_dedup.chunks_for(80)
+
+
 def test_near_odd_tables(spark):
     got = near_dedup.near_duplicates(odd_documents(spark)).toPandas().sort_values("doc_id")
     assert got.component_id.tolist() == [1, 1, 3, 4, 5, 6, 7, 7, 9, 10, 10, 11]
