@@ -1,12 +1,16 @@
 """License scans by canonical digest: normalised entire texts are hash-joined to digests of known license texts.
 
-Units are the whole document and each of its paragraphs and lines, so a notice is found where it is a whole unit. Copyright lines go, letters
+Units are the whole document and each of its paragraphs and lines, so a notice is found where it is a whole unit; full texts are also found
+inside longer documents, from any line on (unit "run"): as many characters of the canonical rest as a known text has. Copyright lines go, letters
 are folded, spellings that license guidelines treat as equal become one, and everything but letters and digits becomes one
 space. Only digests are compared: the known table is small and fixed (a row a text), so it is broadcast.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,17 +64,48 @@ NOTICES = {
     "GPL-2.0-or-later": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
     "Apache-2.0": ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'],
 }
+# Full texts, a file an identifier.
+TEXTS = Path(__file__).parent / "texts"
 COPYRIGHT = r"(?m)^[\x20\x09]*(?:[*#/;-]+[\x20\x09]*)?(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 
 
 #: What every known unit contains, so that other units need no digest.
-MARK = r"(?i)licen[cs]|permission|\b(?:MIT|ISC|BSD|MPL|GPL|LGPL|AGPL|CC0|CC|BSL|EPL|Apache)\b"
+MARK = r"(?i)licen[cs]|permission|permitted|\b(?:MIT|ISC|BSD|MPL|GPL|LGPL|AGPL|CC0|CC|BSL|EPL|Apache)\b"
+#: Blank lines between paragraphs.
+BLANK = r"\r?\n(?:[\x20\x09]*\r?\n)+"
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(identifier, text) of the full texts and of what copies of them leave out, as wrapped here and with a line a paragraph."""
+    full = {"MIT": [_MIT], "ISC": [_ISC]} | {f.stem: [f.read_text(encoding="utf-8").strip()] for f in sorted(TEXTS.glob("*.txt"))}
+    for name in ("Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only"):
+        text = full[name][0]
+        end = re.search(r"END OF TERMS AND CONDITIONS", text).end()
+        full[name].append(text[:end])
+    # the header of source files, which is the end of the license's appendix
+    full["Apache-2.0"].append(full["Apache-2.0"][0][full["Apache-2.0"][0].index("Licensed under the Apache License") :])
+    for name in ("BSL-1.0", "CC0-1.0"):
+        full[name].append(full[name][0].partition("\n\n")[2].strip())
+    for name in ("BSD-2-Clause", "BSD-3-Clause"):
+        full[name].append(re.sub(r"(?m)^\d\. ", "* ", full[name][0]))
+        # where this word begins a line, the line counts as one of copyright
+        full[name] += [re.sub(r"the\s+above\s+copyright", r"the above\ncopyright", text) for text in list(full[name])]
+    flat = lambda text: "\n\n".join(re.sub(r"\s*\n\s*", " ", part) for part in re.split(r"\n\s*\n", text))
+    return sorted({(k, x) for k, texts in full.items() for text in texts for x in (text, flat(text))})
+
+
+def titles() -> list[tuple[str, str]]:
+    """(identifier, heading) of each name with and without its article."""
+    bare = {(k, name.removeprefix("the ")) for k, names in NAMES.items() for name in names}
+    return sorted(bare | {(k, f"the {name}") for k, name in bare})
 
 
 def known_texts() -> list[tuple[str, str]]:
     """(identifier, text) of all known units."""
     out = [(k, lead.format(name)) for k, names in NAMES.items() for name in names for lead in LEADS]
-    return sorted({*out, *((k, text) for k, texts in NOTICES.items() for text in texts)})
+    full = full_texts()
+    headed = [(k, f"{title}\n\n{text}") for k, text in full for of, title in titles() if of == k]
+    return sorted({*out, *titles(), *full, *headed, *((k, text) for k, texts in NOTICES.items() for text in texts)})
 
 
 def canonical(text: Column) -> Column:
@@ -89,10 +124,38 @@ def known(spark: SparkSession) -> DataFrame:
     return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
+def known_runs(spark: SparkSession) -> dict[str, set[tuple[int, str, str]]]:
+    """(length, digest, identifier) of the canonical full texts, by their first three words."""
+    rows = spark.createDataFrame(full_texts(), "license string, text string").select("license", canonical(F.col("text")).alias("text"))
+    found: dict[str, set[tuple[int, str, str]]] = {}
+    for r in rows.select("license", F.substring_index("text", " ", 3).alias("start"), F.length("text").alias("n"), F.sha2("text", 256).alias("digest")).collect():
+        found.setdefault(r["start"], set()).add((r["n"], r["digest"], r["license"]))
+    return found
+
+
+def embedded(text: Column, runs: dict[str, set[tuple[int, str, str]]]) -> Column:
+    """Names of full texts that begin on a line of the text, whatever their line and paragraph breaks."""
+    words = [r"[^\p{L}\p{N}]+".join(re.sub("license", "licen[cs]e", w) for w in start.split()[:2]) for start in sorted(runs)]
+    first = rf"(?i)^[^\p{{L}}\p{{N}}]*(?:{'|'.join(words)})\b"
+    lengths = F.create_map(*(x for start in sorted(runs) for x in (F.lit(start), F.array(*(F.lit(n) for n in sorted({n for n, _, _ in runs[start]}))))))
+    names = F.create_map(*(F.lit(x) for digest, name in sorted({(d, k) for found in runs.values() for _, d, k in found}) for x in (digest, name)))
+    lines = F.split(text, r"\n")
+    begins = F.filter(F.transform(lines, lambda x, k: F.struct((k + 1).alias("number"), x.rlike(first).alias("able"))), lambda u: u["able"])
+    rests = F.transform(begins, lambda u: F.struct(u["number"].alias("number"), canonical(F.array_join(F.slice(lines, u["number"], F.size(lines)), "\n")).alias("rest")))
+
+    def hits(u: Column) -> Column:
+        cuts = F.coalesce(F.try_element_at(lengths, F.substring_index(u["rest"], " ", 3)), F.array().cast("array<int>"))
+        whole = F.filter(cuts, lambda n: F.substring(u["rest"], n + F.lit(1), F.lit(1)).isin("", " "))
+        found = F.transform(whole, lambda n: F.try_element_at(names, F.sha2(F.substring(u["rest"], F.lit(1), n), 256)))
+        return F.transform(F.filter(found, lambda name: name.isNotNull()), lambda name: F.concat(name, F.lit("@run:"), u["number"].cast("string")))
+
+    return F.array_distinct(F.flatten(F.transform(rests, hits)))
+
+
 def document_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, canonical_sha256 of the entire text, license of the entire text or null, notices found.
 
-    notices is a sorted array of "license@unit:number". Each row stands alone: no exchange, repeated rows each answer.
+    notices is a sorted array of "license@unit:number"; a run's number is its first line. Each row stands alone: no exchange, repeated rows each answer.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     table_of = {r["digest"]: r["license"] for r in known(docs.sparkSession).collect()}
@@ -107,11 +170,12 @@ def document_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return F.when(when, named).otherwise(F.array().cast("array<string>"))
 
     marked = F.col("text").rlike(MARK)
+    runs = F.when(marked & F.col("text").contains("\n"), embedded(F.col("text"), known_runs(docs.sparkSession))).otherwise(F.array().cast("array<string>"))
     out = base.withColumn("canonical_sha256", digest(F.col("text")))
     out = out.join(F.broadcast(known(docs.sparkSession)), out["canonical_sha256"] == F.col("digest"), "left")
     return out.select(
         "doc_id", "canonical_sha256", "license",
-        F.array_sort(F.concat(parts("line", r"\n", marked & F.col("text").contains("\n")), parts("paragraph", r"\n{2,}", marked & F.col("text").contains("\n\n")))).alias("notices"),
+        F.array_sort(F.concat(parts("line", r"\n", marked & F.col("text").contains("\n")), parts("paragraph", BLANK, marked & F.col("text").rlike(BLANK)), runs)).alias("notices"),
     )
 
 

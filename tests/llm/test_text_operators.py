@@ -84,6 +84,25 @@ def test_licenses(spark):
     assert licenses.document_licenses(odd_documents(spark)).count() == 12 and licenses.document_licenses(no_documents(spark)).count() == 0
 
 
+def test_full_licenses_inside_documents(spark):
+    texts = {f.stem: f.read_text() for f in licenses.TEXTS.glob("*.txt")} | {"MIT": licenses._MIT, "ISC": licenses._ISC}
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "Unlicense", "MIT", "ISC"} == set(texts)
+    assert all(re.search(licenses.MARK, text) for _, text in licenses.known_texts())
+    names = sorted(texts)
+    rows = [(f"{n} alone", texts[n]) for n in names]
+    rows += [(f"{n} inside", "Some tool\r\n \r\nCopyright (c) 2020 Me\r\n\r\n" + texts[n].strip().replace("\n", "\r\n") + "\r\n\r\nmore prose") for n in names]
+    rows += [(f"{n} titled", licenses.NAMES[n][0].removeprefix("the ") + "\n\nCopyright (c) 2020 Me\n\n" + texts[n]) for n in names]
+    rows += [("MIT joined", "// MIT License\n//\n" + "".join(f"// {x}\n" for x in licenses._MIT.split("\n")) + "int main() {}"), ("cut", licenses._MIT[:-20] + "\nprose"), ("longer", "x\n" + licenses._MIT[:-1] + "s.")]
+    header = licenses.TEXTS.joinpath("Apache-2.0.txt").read_text().partition("[name of copyright owner]")[2]
+    rows += [("header", "#!/bin/sh\n# Copyright 2020 Me\n" + "".join(f"# {x.strip()}\n" for x in header.strip().split("\n")) + "echo")]
+    got = {r["doc_id"]: (r["license"], list(r["notices"])) for r in licenses.document_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    for n in names:
+        assert got[f"{n} alone"][0] == n and got[f"{n} titled"][0] == n
+        assert got[f"{n} inside"][0] is None and f"{n}@run:5" in got[f"{n} inside"][1]
+    assert "MIT@run:3" in got["MIT joined"][1] and "Apache-2.0@run:3" in got["header"][1]
+    assert not any("@run" in x for k in ("cut", "longer") for x in got[k][1])
+
+
 def test_log_kt():
     for a, b in ((0, 0), (3, 0), (2, 5), (40, 1)):
         p, zeros, ones = 0.0, 0, 0
