@@ -722,3 +722,12 @@ def callers_lines(s, d):
     rare = symbols.groupBy("name").agg(F.count("*").alias("n")).filter("n <= 2").select("name")
     return callers.candidates(index.word_hits(lines), lines, symbols, rare).select("name", "path", "line")
 
+
+
+@query(f"""WITH {SYMBOLS}, t AS (SELECT DISTINCT name FROM symbols), w AS (SELECT DISTINCT path, line, unnest(regexp_extract_all(text, {IDENT})) AS name FROM lines)
+SELECT w.name, w.path, w.line FROM w JOIN t USING (name) LEFT JOIN symbols s ON s.name = w.name AND s.path = w.path AND s.line_start = w.line WHERE s.name IS NULL""")
+def callers_lines_all(s, d):
+    """callers_lines for all symbol names, however many definitions they have."""
+    lines = _lines(s, d)
+    symbols = V.symbols(lines)
+    return callers.candidates(index.word_hits(lines), lines, symbols, symbols).select("name", "path", "line")
