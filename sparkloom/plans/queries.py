@@ -600,6 +600,18 @@ def module_terms(s, d):
     return modules.ranked_terms(counts, _members(s, d))
 
 
+# MODULE_TERMS with path tokens, which weigh one
+MODULE_TERMS_PATHS = MODULE_TERMS.replace("c AS (SELECT path, term", f"""paths AS (SELECT path, unnest({sql_parts('token')}) AS term, 1 AS w FROM (SELECT path, unnest(regexp_extract_all(path, {IDENT})) AS token FROM files)),
+both_w AS (SELECT * FROM w UNION ALL SELECT * FROM paths), c AS (SELECT path, term""").replace("AS count FROM w WHERE", "AS count FROM both_w WHERE")
+
+
+@query(f"WITH {MODULE_TERMS_PATHS} SELECT module, term, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY score DESC, count DESC, term) AS rank FROM sc) WHERE rank <= 12")
+def module_terms_paths(s, d):
+    """module_terms with the tokens of paths, as module_map has them."""
+    counts = modules.term_counts(V.files(s, d), V.symbols(_lines(s, d)))
+    return modules.ranked_terms(counts, _members(s, d))
+
+
 @query(f"""WITH {MEMBERS}, {FILE_DEPS}, b AS (SELECT x.module AS ma, y.module AS mb FROM deps JOIN members x ON x.path = src JOIN members y ON y.path = dst),
 f AS (SELECT module, count(*) AS files FROM members GROUP BY 1), i AS (SELECT ma AS module, count(*) AS internal FROM b WHERE ma = mb GROUP BY 1), o AS (SELECT ma AS module, count(*) AS outgoing FROM b WHERE ma <> mb GROUP BY 1), n AS (SELECT mb AS module, count(*) AS incoming FROM b WHERE ma <> mb GROUP BY 1)
 SELECT module, files, coalesce(internal, 0) AS internal, coalesce(outgoing, 0) AS outgoing, coalesce(incoming, 0) AS incoming, round(CASE WHEN coalesce(internal, 0) + coalesce(outgoing, 0) + coalesce(incoming, 0) = 0 THEN 1.0 ELSE coalesce(internal, 0) / (coalesce(internal, 0) + coalesce(outgoing, 0) + coalesce(incoming, 0)) END, 6) AS cohesion FROM f LEFT JOIN i USING (module) LEFT JOIN o USING (module) LEFT JOIN n USING (module)""")
