@@ -78,6 +78,8 @@ def sql_top(frame: str, key: str, k: int, id_col: str = "doc_id") -> str:
 ONE = "SELECT 0::BIGINT AS query_id, unnest(['the', 'password', 'the', 'license']) AS term"
 BATCH = f"SELECT item_id AS query_id, lower(unnest(regexp_extract_all(text, {IDENT})[1:8])) AS term FROM benchmark"
 
+BATCH_WHOLE = f"SELECT item_id AS query_id, lower(unnest(regexp_extract_all(text, {IDENT}))) AS term FROM benchmark"
+
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
@@ -263,6 +265,10 @@ def _batch(s, d):
     return items.select(F.col("item_id").alias("query_id"), F.explode(F.slice(X.identifiers(F.col("text")), 1, 8)).alias("term")).withColumn("term", F.lower("term"))
 
 
+def _batch_whole(s, d):
+    return V.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(X.identifiers(F.col("text"))).alias("term")).withColumn("term", F.lower("term"))
+
+
 @query(f"WITH {TERMS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(tf) AS max_tf FROM posted GROUP BY 1")
 def bm25_postings(s, d):
     return _posted(s, d)[1].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
@@ -286,6 +292,13 @@ def bm25_batch(s, d):
     return index.top_per_query(index.bm25(posted, lengths, _batch(s, d), "doc_id"), "doc_id", 5)
 
 
+@query(f"WITH {sql_bm25(BATCH_WHOLE)} {sql_top('scored', 'query_id', 5)}")
+def bm25_batch_whole(s, d):
+    """bm25_batch with all identifiers of the benchmark's texts."""
+    _, posted, lengths = _posted(s, d)
+    return index.top_per_query(index.bm25(posted, lengths, _batch_whole(s, d), "doc_id"), "doc_id", 5)
+
+
 RRF = "rrf AS (SELECT query_id, doc_id, round(1.0 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)), 8) AS score FROM scored)"
 COSINE = """qv AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE {which}),
 nv AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, label FROM embeddings),
@@ -308,6 +321,14 @@ def rrf_rank(s, d):
     return ranks.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"))
 
 
+@query(f"WITH {sql_bm25(BATCH_WHOLE)}, {RRF} SELECT query_id, count(*) AS n, round(sum(score), 6) AS total FROM rrf GROUP BY 1")
+def rrf_rank_whole(s, d):
+    """rrf_rank with all identifiers of the benchmark's texts."""
+    _, posted, lengths = _posted(s, d)
+    ranks = search.reciprocal_ranks(index.bm25(posted, lengths, _batch_whole(s, d), "doc_id"), "doc_id")
+    return ranks.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"))
+
+
 FUSED = f"""{sql_bm25(ONE)}, {RRF}, {COSINE.format(which='vec_id = 7', key='doc_id')},
 sem AS (SELECT 0 AS query_id, doc_id, round(1.0 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)), 8) AS score FROM sims),
 fused AS (SELECT query_id, doc_id, round(0.5 * coalesce(rrf.score, 0) + 0.5 * coalesce(sem.score, 0), 8) AS score FROM rrf FULL JOIN sem USING (query_id, doc_id))"""
