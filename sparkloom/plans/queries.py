@@ -518,6 +518,13 @@ def graph_components(s, d):
     return G.components(V.key_nodes(s, d), V.foreign_keys(s, d).select(F.col("src").alias("source"), F.col("dst").alias("target")))
 
 
+def _buys(s, d):
+    """An edge a supplier and customer that share an order line."""
+    lines = V.table(s, d, "lineitem").join(V.table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    ends = lines.select(F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("target")).distinct()
+    return ends.withColumn("relation", F.lit("buys")).withColumn("confidence", F.lit("INFERRED"))
+
+
 @query(f"""{COMMUNITIES}, n AS (SELECT id, split_part(file_path, '/', 1) AS top, community, degree FROM nodes JOIN communities USING (id) JOIN degree USING (id)),
 t AS (SELECT 'supplier:' || (l_suppkey) AS source, 'customer:' || o_custkey AS target, count(*) AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 GROUP BY 1, 2),
 dg AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM t UNION ALL SELECT target FROM t) GROUP BY 1)
@@ -529,6 +536,16 @@ def graph_surprising(s, d):
     return G.surprising(V.key_nodes(s, d), edges, _communities(s, d))
 
 
+@query(f"""{COMMUNITIES}, n AS (SELECT id, split_part(file_path, '/', 1) AS top, community FROM nodes JOIN communities USING (id)),
+t AS (SELECT DISTINCT 'supplier:' || l_suppkey AS source, 'customer:' || o_custkey AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+dg AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM t UNION ALL SELECT target FROM t) GROUP BY 1)
+SELECT source, target, 'buys' AS relation, (2 + CASE WHEN a.top <> b.top THEN 2 ELSE 0 END + CASE WHEN a.community <> b.community THEN 1 ELSE 0 END + CASE WHEN least(x.degree, y.degree) <= 2 AND greatest(x.degree, y.degree) >= 5 THEN 1 ELSE 0 END)::BIGINT AS score
+FROM t JOIN n a ON a.id = source JOIN n b ON b.id = target JOIN dg x ON x.id = source JOIN dg y ON y.id = target ORDER BY 4 DESC, 1, 2 LIMIT 10""")
+def graph_surprising_all(s, d):
+    """graph_surprising over all lines of all orders."""
+    return G.surprising(V.key_nodes(s, d), _buys(s, d), _communities(s, d))
+
+
 @query(f"""{COMMUNITIES}, weak AS (SELECT 'weak' AS kind, n.id AS subject, count(e.id) AS n FROM nodes n LEFT JOIN (SELECT src AS id FROM deps UNION ALL SELECT dst FROM deps) e USING (id) GROUP BY 2 HAVING count(e.id) <= 1),
 ends AS (SELECT src AS id, b.community AS other FROM deps JOIN communities a ON a.id = src JOIN communities b ON b.id = dst WHERE a.community <> b.community UNION ALL SELECT dst, a.community FROM deps JOIN communities a ON a.id = src JOIN communities b ON b.id = dst WHERE a.community <> b.community),
 bridge AS (SELECT 'bridge' AS kind, id AS subject, count(DISTINCT other) AS n FROM ends GROUP BY 2 HAVING count(DISTINCT other) >= 2),
