@@ -564,7 +564,7 @@ def _supply(s, d):
 
 @query()
 def graph_communities_lp(s, d):
-    return communities.label_propagation_synchronous(*_supply(s, d))
+    return communities.label_propagation_synchronous(*_supply(s, d), seeds=_communities(s, d))
 
 
 @query()

@@ -137,3 +137,11 @@ def test_store_and_tools(spark, tmp_path):
     assert [r["path"] for r in tools.call("deps", {"path": "b.py"})] == ["src/a.py"]
     assert tools.call("nope").startswith("error:") and tools.call("edit").startswith("error:") and tools.call("find", {}).startswith("error:")
     assert len(tools.schemas()) == len(tools.known)
+
+
+def test_label_propagation_takes_seeds(spark):
+    nodes = spark.createDataFrame([(x,) for x in "abcde"], "id string")
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0)], "source string, target string, weight double")
+    seeds = spark.createDataFrame([("a", "x/y"), ("b", "x/y"), ("c", "x/y"), ("d", "x/z")], "id string, community string")
+    for solve in (communities.label_propagation, communities.label_propagation_synchronous):
+        assert dict(map(tuple, solve(nodes, edges, seeds=seeds).select("id", "community").collect())) == {"a": "x/y", "b": "x/y", "c": "x/y", "d": "x/z", "e": "e"}
