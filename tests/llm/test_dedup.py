@@ -30,12 +30,24 @@ def test_exact_against_brute_force(spark):
     assert exact_dedup.exact_dedup(no_documents(spark)).count() == 0 and exact_dedup.keep_one(no_documents(spark)).count() == 0
 
 
+def test_fewer_rows_reach_each_level(spark):
+    texts = ["a" * n for n in range(100, 160)] + [c * 200 for c in "bcdefghijk"] + ["m" * 90 + str(k) for k in range(10, 20)] + ["n" * 300] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    narrow = exact_dedup.normalised(docs, "doc_id", "text").selectExpr("len", "substring(norm, 1, 64) prefix")
+    one = exact_dedup.same_length(narrow)
+    two = exact_dedup.same_prefix(one)
+    # lengths are shared by the second to fourth kind, prefixes by the last two, whole texts by the last
+    assert narrow.count() == 85 and one.count() == 25 and sorted(r["n"] for r in two.collect()) == [5, 10]
+    got = exact_dedup.exact_dedup(docs)
+    assert got.filter("text_sha256 IS NOT NULL").count() == 15 and got.filter("group_size > 1").count() == 5
+
+
 def shingles(text):
     w = words(text)
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def brute_near(rows):
+def brute_near(rows, percent=85):
     sets, up = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
 
     def root(x):
@@ -47,7 +59,7 @@ def brute_near(rows):
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = sorted((root(a), root(b)))
                 up[y] = x
     return {i: (len(sets[i]), root(i)) for i in ids}

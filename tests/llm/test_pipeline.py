@@ -23,7 +23,7 @@ def test_stages(spark):
     scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, table(spark, DATA, "labels"))).collect()}
     assert sorted(ids[1]) == sorted(x for x in ids[0] if scores[x[0]] < 0.3)
     assert sorted(x[0] for x in ids[2]) == sorted(i for i, _, _, kept, _ in brute_exact(ids[1]) if kept)
-    assert sorted(x[0] for x in ids[3]) == sorted(i for i, (_, root) in brute_near(ids[2]).items() if i == root)
+    assert sorted(x[0] for x in ids[3]) == sorted(i for i, (_, root) in brute_near(ids[2], 80).items() if i == root)
     draws = {r["doc_id"]: len(r["draws"]) for r in mixing.mix(held[3]).collect()}
     assert sorted(x[0] for x in ids[4]) == sorted(i for i, n in draws.items() for _ in range(n))
     assert all(x.columns == columns for x in held[1:-1])
