@@ -1,24 +1,35 @@
 """Mixing sources to target weights: a multivariate-hypergeometric splitting tree over permuted blocks.
 
-Each source is dealt by hash into BLOCKS blocks, which a hash permutes. A source takes whole passes, then permuted blocks
-up to its target, the last of them by document, and the one document that comes nearest to what is left. The tree splits the vector of block quotas among output shards: at each node the left half's share is
-drawn without replacement, so quotas stay exact at every level. A shard's blocks are disjoint runs of the permuted order;
-its documents are ordered by hash within it. Only source totals (a row a source) reach the driver. Every choice is a hash of ids
-and a seed, so reruns and recomputed tasks agree.
+Each source is dealt by hash into blocks, which a permutation orders. A source takes whole passes over its blocks and a quota of
+further blocks. The tree splits both among output shards: at each node the left half's blocks, a vector over the sources, are a multivariate
+hypergeometric draw from the node's, and of each source's quota it gets what a hypergeometric draw of its blocks gives, so
+no shard's quota exceeds its blocks and both stay exact at every level. A shard's blocks are a run of the permuted order, disjoint from the
+others', of which it draws its quota; documents are ordered by hash within it. Blocks differ in words, so
+quotas meet a target only nearly: blocks are added or taken away in the tree's order until the target falls into a block, which
+is drawn by document, and one document may fill what is left.
+
+Leaves are drawn where they are needed, from seeds that name the node; only source totals (a row a source) reach the driver.
+Every choice is a hash of rows or a seed, so reruns and recomputed tasks agree.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkloom.llm.tables import table, written
 
 #: Blocks of a source: BLOCKS, and more beyond BLOCK_ROWS times as many rows.
 BLOCKS = 1024
 BLOCK_ROWS = 4096
+#: Blocks of all sources together; the generator of the draws takes no more than 10**9.
+MOST_BLOCKS = 1 << 28
+#: Shards: one for SHARD_WORDS words of the mix, SHARDS at least.
+SHARDS, SHARD_WORDS = 64, 5_000_000
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
@@ -39,96 +50,149 @@ def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: fl
     return out
 
 
-def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Quota of each (shard, source): a tree of multivariate hypergeometric draws, whose columns sum to quotas exactly."""
-    out = np.zeros((shards, len(quotas)), dtype=np.int64)
-    todo = [(0, shards, quotas.astype(np.int64))]
+def leaf_quotas(first: int, last: int, shards: int, blocks: np.ndarray, quotas: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, pool, quota) of the leaves first to last - 1 of a tree over `shards`, each an array of a row a leaf and a column a source.
+
+    blocks and quotas are the sources' own; a leaf's blocks are those from start to start + pool in permuted order.
+    """
+    start, pool, quota = (np.zeros((last - first, len(blocks)), dtype=np.int64) for _ in range(3))
+    todo = [(0, shards, np.zeros(len(blocks), dtype=np.int64), blocks.astype(np.int64), quotas.astype(np.int64))]
     while todo:
-        lo, hi, have = todo.pop()
+        lo, hi, at, have, want = todo.pop()
+        if hi <= first or lo >= last:
+            continue
         if hi - lo == 1:
-            out[lo] = have
+            start[lo - first], pool[lo - first], quota[lo - first] = at, have, want
             continue
         mid = (lo + hi) // 2
-        total = int(have.sum())
-        take = (total * (mid - lo) + (hi - lo) // 2) // (hi - lo)
+        take = (int(have.sum()) * (mid - lo) + (hi - lo) // 2) // (hi - lo)
         rng = np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, lo, hi])))
-        left = rng.multivariate_hypergeometric(have, take, method="marginals") if total else have
-        todo += [(lo, mid, left), (mid, hi, have - left)]
-    return out
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_words: int = 5_000_000, seed: int = 7, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+        left = rng.multivariate_hypergeometric(have, take, method="marginals") if take else np.zeros_like(have)
+        some = rng.hypergeometric(left, have - left, want)
+        todo += [(lo, mid, at, left, some), (mid, hi, at + left, have - left, want - some)]
+    return start, pool, quota
+
+
+def leaves(spark: SparkSession, shards: int, blocks: np.ndarray, quotas: np.ndarray, seed: int) -> DataFrame:
+    """number (of the source), shard, start, pool, quota: the tree's leaves, drawn in ranges of shards."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch["id"].to_numpy()
+            if not len(ids):
+                continue
+            found = leaf_quotas(int(ids[0]), int(ids[-1]) + 1, shards, blocks, quotas, seed)
+            number = np.tile(np.arange(len(blocks), dtype=np.int32), len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(np.repeat(ids, len(blocks))), *(pa.array(x.ravel()) for x in found)], names=["number", "shard", "start", "pool", "quota"])
+
+    return spark.range(0, shards, 1, 1 + shards // 4096).mapInArrow(work, "number int, shard bigint, start bigint, pool bigint, quota bigint")
+
+
+class Plan:
+    """How often each document is drawn: a table of blocks and the columns that lead a document to its block's row."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, source_col: str, shard_words: int, seed: int, weights: tuple[float, ...]):
+        spark = docs.sparkSession
+        self.columns, self.seed = (id_col, text_col, source_col), seed
+        rows = docs.select(*self._own(docs))
+        self.sized = sized = written(rows)
+        found = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).orderBy(F.col("source").asc_nulls_last()).collect()
+        self.count = count = max(1, min(max(BLOCKS, 1 << (sum(r["rows"] for r in found) // BLOCK_ROWS).bit_length()), 1 << ((MOST_BLOCKS // max(len(found), 1)).bit_length() - 1)))
+        sizes = [r["words"] for r in found]
+        goals = targets(sizes, [weights[k % len(weights)] for k in range(len(sizes))])
+        passes = [int(min(g // s, 2)) if s else 0 for g, s in zip(goals, sizes, strict=True)]
+        rests = [g - p * s for g, p, s in zip(goals, passes, sizes, strict=True)]
+        quotas = np.array([min(count, round(count * r / s)) if s and r > 0 else 0 for r, s in zip(rests, sizes, strict=True)], dtype=np.int64)
+        self.shards = max(SHARDS, round(sum(goals) / shard_words))
+        odd = np.random.Generator(np.random.PCG64(seed)).integers(0, count, (len(found), 2)) | 1
+        sources = spark.createDataFrame(
+            [(k, r["source"], s, g, p, rest, int(a), int(c)) for k, (r, s, g, p, rest, (a, c)) in enumerate(zip(found, sizes, goals, passes, rests, odd, strict=True))],
+            "number int, of_source string, source_size bigint, target double, passes int, rest double, turn bigint, move bigint",
+        )
+        blocks = sized.groupBy("source", self._block().alias("block")).agg(F.sum("size").alias("words"))
+        blocks = blocks.join(sources, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
+        mixed_up = f"pmod(block * turn + move, {count}L)"
+        blocks = blocks.withColumn("place", F.expr(f"{mixed_up} ^ shiftright({mixed_up}, {max(count.bit_length() // 2, 1)})"))
+        drawn = leaves(spark, self.shards, np.full(len(found), count), quotas, seed).filter("pool > 0")
+        drawn = drawn.select("number", "shard", F.explode(F.expr("sequence(start, start + pool - 1)")).alias("place"), (F.col("start") + F.col("quota")).alias("until"))
+        dealt = written(blocks.join(drawn, ["number", "place"]).withColumn("own", F.col("place") < F.col("until")).drop("until"))
+        # drawn blocks come first, shard by shard, then the others; the target ends somewhere on that way
+        runs = dealt.groupBy("number", "own", "shard").agg(F.sum("words").alias("held"))
+        way = Window.partitionBy("number").orderBy(F.col("own").desc(), "shard").rowsBetween(Window.unboundedPreceding, 0)
+        runs = runs.withColumn("ahead", F.sum("held").over(way) - F.col("held")).drop("held")
+        within = Window.partitionBy("number", "own", "shard").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+        dealt = dealt.join(runs, ["number", "own", "shard"]).withColumn("before", F.col("ahead") + F.sum("words").over(within) - F.col("words"))
+        part = F.expr("CASE WHEN rest <= 0 OR before >= rest THEN 0 WHEN before + words <= rest THEN 2 ELSE 1 END")
+        dealt = written(dealt.withColumn("part", part).drop("own", "ahead", "place", "turn", "move"))
+        self.blocks = written(self._singles(dealt))
+
+    def _own(self, docs: DataFrame) -> list[Column]:
+        """size, source and at of a row; at, a hash of id, source and text, is the same for equal rows."""
+        id_col, text_col, source_col = self.columns
+        text, source = F.coalesce(docs[text_col].cast("string"), F.lit("")), docs[source_col].cast("string")
+        size = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
+        return [docs[id_col].alias("doc_id"), source.alias("source"), size.alias("size"), F.xxhash64(F.lit(self.seed), docs[id_col], source, text).alias("at")]
+
+    def _block(self) -> Column:
+        return F.pmod(F.shiftright("at", 20), F.lit(self.count))
+
+    def _joined(self, rows: DataFrame, blocks: DataFrame) -> DataFrame:
+        blocks = blocks.withColumnRenamed("source", "of_source").withColumnRenamed("block", "of_block")
+        return rows.withColumn("mx_block", self._block()).join(blocks, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("mx_block") == F.col("of_block"))).drop("of_source", "of_block", "mx_block")
+
+    def _singles(self, dealt: DataFrame) -> DataFrame:
+        """The blocks with `some`: hashes of single documents that are drawn once more, of the block in which a target ends, and of a source's last one."""
+        narrow = dealt.select("source", "block", "number", "rest", "before", "part")
+        rows = self._joined(self.sized, narrow)
+        # equal rows are peers in this order: they fit together or not at all
+        edge = rows.filter("part = 1").withColumn("fits", F.col("before") + F.sum("size").over(Window.partitionBy("number").orderBy("at")) <= F.col("rest"))
+        edge = written(edge.select("number", "at", "size", "fits"))
+        inside = edge.filter("fits").groupBy("number").agg(F.collect_set("at").alias("fitting"), F.sum("size").alias("gone"))
+        whole = dealt.filter("part = 2").groupBy("number").agg(F.sum("words").alias("whole"))
+        short = dealt.groupBy("number").agg(F.max("rest").alias("rest")).join(whole, "number", "left").join(inside, "number", "left")
+        short = written(short.select("number", "fitting", (F.col("rest") - F.coalesce("whole", F.lit(0)) - F.coalesce("gone", F.lit(0))).alias("short")).filter("short > 0 OR fitting IS NOT NULL"))
+        idle = rows.filter("part = 0 AND rest > 0").select("number", "at", "size").unionByName(edge.filter("NOT fits").select("number", "at", "size"))
+        able = idle.join(short.select("number", "short"), "number").filter("size > 0 AND abs(size - short) < short")
+        last = written(able.groupBy("number").agg(F.min_by("at", F.struct(F.abs(F.col("size") - F.col("short")), "at")).alias("last")))
+        # of a row that repeats, all copies are drawn: only where they are nearer together than none
+        copies = able.join(last, "number").filter("at = last").groupBy("number", "last").agg(F.sum("size").alias("held"), F.max("short").alias("short"))
+        last = copies.filter("abs(held - short) < short").select("number", "last")
+        marks = short.select("number", "fitting").join(last, "number", "left")
+        none = F.expr("cast(array() as array<bigint>)")
+        in_block = F.pmod(F.shiftright("last", 20), F.lit(self.count)) == F.col("block")
+        some = F.concat(F.when(F.col("part") == 1, F.coalesce("fitting", none)).otherwise(none), F.when(in_block, F.array("last")).otherwise(none))
+        return dealt.join(marks, "number", "left").select("source", "block", "source_size", "target", "passes", (F.col("part") == 2).alias("whole"), F.coalesce(some, none).alias("some"), "shard")
+
+    def draws(self, rows: DataFrame) -> DataFrame:
+        """rows (source and at among their columns) with source_size, target and draws: an array of copy and shard, an entry a time a row is drawn."""
+        out = self._joined(rows, self.blocks)
+        times = F.col("passes") + (F.col("whole") | F.array_contains("some", F.col("at"))).cast("int")
+        entry = lambda c: F.struct(c.alias("copy"), F.pmod(F.col("shard") + c * F.lit(self.shards // 2), F.lit(self.shards)).alias("shard"))
+        draws = F.transform(F.filter(F.sequence(F.lit(0), F.lit(2)), lambda c: c < times), entry)
+        return out.withColumn("draws", draws).drop("passes", "whole", "some", "shard")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_words: int = SHARD_WORDS, seed: int = 7, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, draws (array of copy and shard; one entry a time it is taken).
 
     Sources by code point, null last, get `weights` in turn. Null text has size 0. Documents without words are drawn with
-    their block. Repeated rows are documents of their own. An empty table gives no rows.
+    their block. Rows that repeat an id are documents of their own; rows that also repeat source and text share their draws. An
+    empty table gives no rows.
     """
-    spark = docs.sparkSession
-    words = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
-    sized = written(
-        docs.select(
-            F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size"),
-            F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col)).alias("at"),
-        ).withColumn("row", F.monotonically_increasing_id())
-    )
-    count = max(BLOCKS, 1 << (sized.count() // BLOCK_ROWS).bit_length())
-    sized = sized.withColumn("block", F.pmod(F.shiftright("at", 20), F.lit(count)))
-    blocks = written(sized.groupBy("source", "block").agg(F.sum("size").alias("words")))
-    totals = blocks.groupBy("source").agg(F.sum("words").alias("words"), F.count("*").alias("blocks")).orderBy(F.col("source").asc_nulls_last()).collect()
-    sizes = [r["words"] for r in totals]
-    goals = targets(sizes, [weights[k % len(weights)] for k in range(len(sizes))])
-    passes = [int(min(g // s, 2)) if s else 0 for g, s in zip(goals, sizes, strict=True)]
-    plan = spark.createDataFrame(
-        [(r["source"], s, g, p, g - p * s, r["blocks"]) for r, s, g, p in zip(totals, sizes, goals, passes, strict=True)],
-        "source string, source_size bigint, target double, passes int, rest double, n_blocks bigint",
-    )
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    order = Window.partitionBy(blocks["source"]).orderBy(F.xxhash64(F.lit(seed + 1), "block"), "block")
-    dealt = blocks.join(plan, same(blocks, plan)).select(
-        blocks["source"], "block", "words", "passes", "rest", "source_size", "target", "n_blocks",
-        F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
-        (F.row_number().over(order) - 1).cast("bigint").alias("place"),
-    )
-    dealt = written(dealt.withColumn("part", F.expr("CASE WHEN rest <= 0 OR upto - words >= rest THEN 0 WHEN upto <= rest THEN 2 ELSE 1 END")))
-    drawn = dealt.groupBy("source").agg(F.sum(F.col("passes") + (F.col("part") > 0).cast("int")).alias("quota")).collect()
-    quota = {r["source"]: int(r["quota"]) for r in drawn}
-    shards = max(1, round(sum(goals) / shard_words))
-    tree = split_quotas(np.array([quota[r["source"]] for r in totals], dtype=np.int64), shards, seed)
-    ends = np.cumsum(tree, axis=0)
-    bounds = spark.createDataFrame([(r["source"], ends[:, k].tolist()) for k, r in enumerate(totals)], "source string, ends array<bigint>")
-    # A pass runs over its source's blocks in permuted order, pass after pass; a shard owns a run of that order.
-    placed = dealt.join(bounds, same(dealt, bounds)).select(
-        dealt["source"].alias("of_source"), F.col("block").alias("of_block"), "source_size", "target", "part", "rest", (F.col("upto") - F.col("words")).alias("before"),
-        F.expr("""transform(filter(sequence(0, 2), c -> c < passes OR (c = passes AND part > 0)), c -> named_struct('copy', c,
-            'shard', cast(size(filter(ends, x -> x <= place + c * n_blocks)) as bigint), 'whole', c < passes OR part = 2))""").alias("drawn"),
-    )
-    both = sized.join(placed, sized["source"].eqNullSafe(F.col("of_source")) & (F.col("block") == F.col("of_block")))
-    edge = Window.partitionBy("source", "block").orderBy("at", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
-    at_edge = both.filter("part = 1").withColumn("fits", F.col("before") + F.sum("size").over(edge) <= F.col("rest"))
-    rows = written(both.filter("part <> 1").withColumn("fits", F.lit(True)).unionByName(at_edge))
-    # what whole documents leave of a source's target goes to the one document that comes nearest to it
-    gone = rows.filter("part = 2 OR (part = 1 AND fits)").groupBy("source").agg(F.sum("size").alias("gone"))
-    short = written(plan.join(gone, same(plan, gone), "left").select(plan["source"].alias("short_of"), (F.col("rest") - F.coalesce("gone", F.lit(0))).alias("short")))
-    idle = rows.filter("size > 0 AND (part = 0 OR (part = 1 AND NOT fits)) AND rest > 0").join(short, rows["source"].eqNullSafe(F.col("short_of")))
-    last = idle.filter(F.abs(F.col("size") - F.col("short")) < F.col("short")).groupBy("source").agg(F.min_by("row", F.struct(F.abs(F.col("size") - F.col("short")), "at", "row")).alias("last"))
-    last = last.select(F.col("last").alias("row"), F.lit(True).alias("extra"))
-    kept = rows.join(last, "row", "left").withColumn("extra", F.coalesce("extra", F.lit(False)))
-    draws = F.expr("""transform(filter(drawn, x -> x.whole OR part <> 1 OR fits OR extra), x -> named_struct('copy', x.copy, 'shard', x.shard))""")
-    more = F.expr("array(named_struct('copy', cast(size(drawn) as int), 'shard', cast(coalesce(get(drawn, size(drawn) - 1).shard, 0) as bigint)))")
-    # an extra document of a block that its pass leaves out has no shard of its own yet: the shard of its last draw, or the first
-    return kept.select("doc_id", "size", "source_size", "target", F.when(F.col("extra") & (F.col("part") == 0), F.concat(draws, more)).otherwise(draws).alias("draws"), "at")
-
-
-def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    plan = Plan(docs, id_col, text_col, source_col, shard_words, seed, weights)
+    return plan.draws(plan.sized).select("doc_id", "size", "source_size", "target", "draws", "at")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_words: int = SHARD_WORDS, seed: int = 7, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """The mix itself: each document's columns as often as it is drawn, a shard a partition range, shuffled within shards.
 
-    Rows that repeat an id share the draws of one of them.
+    Rows are drawn one by one, as in mix(): where an id repeats with other texts, each row has draws of its own.
     """
-    draws = mix(docs, id_col, **options).filter(F.size("draws") > 0).dropDuplicates(["doc_id"])
-    draws = draws.select(F.col("doc_id").alias("mx_id"), F.explode("draws").alias("mx_draw"), "at")
-    draws = draws.select("mx_id", "mx_draw", F.xxhash64("at", "mx_draw.copy").alias("mx_at"))
-    out = docs.join(draws, docs[id_col].eqNullSafe(draws["mx_id"]))
-    return out.repartition(F.col("mx_draw.shard")).sortWithinPartitions("mx_draw.shard", "mx_at").select(*(docs[c] for c in docs.columns))
+    plan = Plan(docs, id_col, text_col, source_col, shard_words, seed, weights)
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("mx_doc"), *plan._own(docs))
+    out = plan.draws(packed).select("mx_doc", "at", F.explode("draws").alias("draw"))
+    out = out.select("mx_doc", F.col("draw.shard").alias("shard"), F.xxhash64("at", "draw.copy").alias("turn"))
+    return out.repartition("shard").sortWithinPartitions("shard", "turn").select("mx_doc.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,12 +11,94 @@ def test_targets():
     assert mixing.targets([], []) == [] and mixing.targets([0, 0], [5, 2]) == [0, 0]
 
 
-def test_split_quotas_are_exact():
-    quotas = np.array([1000, 7, 0, 333])
-    tree = mixing.split_quotas(quotas, 13, 5)
-    assert tree.shape == (13, 4) and (tree.sum(axis=0) == quotas).all() and (tree >= 0).all()
-    assert tree.sum(axis=1).max() - tree.sum(axis=1).min() <= 4
-    assert (mixing.split_quotas(quotas, 13, 5) == tree).all()
+def test_leaf_quotas_are_exact():
+    blocks, quotas = np.array([1024, 1024, 64, 1024]), np.array([1000, 7, 0, 333])
+    start, pool, quota = mixing.leaf_quotas(0, 13, 13, blocks, quotas, 5)
+    assert (pool.sum(axis=0) == blocks).all() and (quota.sum(axis=0) == quotas).all() and (quota >= 0).all() and (quota <= pool).all()
+    assert (start == np.cumsum(pool, axis=0) - pool).all() and pool.sum(axis=1).max() - pool.sum(axis=1).min() <= 4
+    # any range of leaves is drawn alike
+    for lo, hi in ((0, 1), (4, 9), (12, 13)):
+        assert all((x == y[lo:hi]).all() for x, y in zip(mixing.leaf_quotas(lo, hi, 13, blocks, quotas, 5), (start, pool, quota), strict=True))
+
+
+def brute_draws(rows, shard_words, seed=7, weights=(5.0, 2.0, 1.0)):
+    """rows are (id, source, size, at); times that each id is drawn, from the description of the method, step by step."""
+    names = sorted({s for _, s, _, _ in rows})
+    sizes = [sum(n for _, s, n, _ in rows if s == name) for name in names]
+    goals = mixing.targets(sizes, [weights[k % 3] for k in range(len(names))])
+    count = max(mixing.BLOCKS, 1 << (len(rows) // mixing.BLOCK_ROWS).bit_length())
+    passes = [min(int(g // s), 2) for g, s in zip(goals, sizes)]
+    rests = [g - p * s for g, p, s in zip(goals, passes, sizes)]
+    quotas = np.array([round(count * r / s) for r, s in zip(rests, sizes)])
+    shards = max(mixing.SHARDS, round(sum(goals) / shard_words))
+    start, pool, quota = mixing.leaf_quotas(0, shards, shards, np.full(len(names), count), quotas, seed)
+    odd = np.random.Generator(np.random.PCG64(seed)).integers(0, count, (len(names), 2)) | 1
+    out = {}
+    for k, name in enumerate(names):
+        held = {}
+        for i, s, n, at in rows:
+            if s == name:
+                held.setdefault((at >> 20) % count, []).append((at, i, n))
+        order = []
+        for block in held:
+            turned = (block * int(odd[k, 0]) + int(odd[k, 1])) % count
+            place = turned ^ (turned >> max(count.bit_length() // 2, 1))
+            shard = int(np.searchsorted(np.cumsum(pool[:, k]), place, side="right"))
+            order.append((place >= start[shard, k] + quota[shard, k], shard, place, block))
+        left, more, idle = rests[k], set(), []
+        for _, _, _, block in sorted(order):
+            whole = sum(n for _, _, n in held[block])
+            if left <= 0:
+                idle += held[block]
+            elif whole <= left:
+                more |= {i for _, i, _ in held[block]}
+                left -= whole
+            else:
+                at_block, before = sorted(held[block]), 0
+                for at, i, n in at_block:
+                    before += n
+                    if before <= left:
+                        more.add(i)
+                    else:
+                        idle.append((at, i, n))
+                left -= sum(n for _, i, n in at_block if i in more)
+                idle += [x for _, _, _, b in sorted(order)[[o[3] for o in sorted(order)].index(block) + 1 :] for x in held[b]]
+                break
+        near = [(abs(n - left), at, i) for at, i, n in idle if n > 0 and abs(n - left) < left]
+        if near:
+            more.add(min(near)[2])
+        for block in held.values():
+            for _, i, _ in block:
+                out[i] = passes[k] + (i in more)
+    return out
+
+
+def test_mix_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(k, " ".join(["w"] * int(rng.integers(0, 60))), str(rng.choice(["a", "b", "c"], p=[0.45, 0.1, 0.45]))) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, shard_words=500).toPandas()
+    source = {k: s for k, _, s in rows}
+    want = brute_draws([(r.doc_id, source[r.doc_id], r.size_, r.at) for r in got.rename(columns={"size": "size_"}).itertuples()], 500)
+    have = {r.doc_id: len(r.draws) for r in got.itertuples()}
+    assert have == want and {len(d) for d in got.draws} >= {0, 1, 2}
+
+    # the tree decides: with all of it in one shard other documents are drawn
+    def flat(spark, shards, blocks, quotas, seed):
+        return spark.createDataFrame([(k, 0, 0, int(b), int(q)) for k, (b, q) in enumerate(zip(blocks, quotas))], "number int, shard bigint, start bigint, pool bigint, quota bigint")
+
+    monkeypatch.setattr(mixing, "leaves", flat)
+    other = {r.doc_id: len(r.draws) for r in mixing.mix(docs, shard_words=500).toPandas().itertuples()}
+    assert sum(other[k] != have[k] for k in have) > 100
+
+
+def test_mixed_repeated_ids(spark):
+    rows = [(k % 50, " ".join(["w"] * (1 + k % 30)), None if k % 5 == 0 else "b", k) for k in range(400)] + [(7, "w w", "b", 0)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, at long")
+    taken = mixing.mixed(docs).groupBy("source").agg(F.sum(F.regexp_count("text", F.lit("w"))).alias("n"), F.count("*").alias("rows")).collect()
+    plan = {r["target"]: r["n"] for r in mixing.mix(docs).groupBy("target").agg(F.sum(F.col("size") * F.size("draws")).alias("n")).collect()}
+    assert sorted(r["n"] for r in taken) == sorted(plan.values()) and all(abs(t - n) < 30 for t, n in plan.items())
+    assert mixing.mixed(docs).columns == docs.columns
 
 
 def test_mix(spark):
