@@ -70,6 +70,10 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def set_digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, digest of the set (null if empty) and its signature (12 longs of four positions)."""
     kind = docs.schema[id_col].dataType
@@ -87,7 +91,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     [
                         batch["doc_id"].slice(lo, hi - lo),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                        pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array(sigs, pa.list_(pa.int64())),
                     ],
                     names=schema.names,
@@ -96,19 +100,19 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, schema)
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id and its sorted distinct shingle hashes."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("shingles", T.ArrayType(T.LongType(), False))])
+def shingle_sets(docs: DataFrame, text_col: str) -> DataFrame:
+    """digest of the set and its sorted distinct shingle hashes, of every text that has any."""
+    schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType(), False))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, words in slices(batch["text"]):
-                sets = words.shingles(WIDTH)
+                sets = [s for s in words.shingles(WIDTH) if len(s)]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                flat = np.concatenate(sets).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=schema.names)
+                flat = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, schema)
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(work, schema)
 
 
 def chunk_keys(chunks: int = CHUNKS) -> list[Column]:
@@ -158,23 +162,47 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb")).cast("bigint")
     held = pairs.join(left, "a").join(right, "b").withColumn("both", shared)
     return held.filter(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
 
+def with_nodes(every: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """every with a column node, and (doc_id, digest, node) of ids that stand on several texts, or None if there are none.
+
+    A node stands for one text of one id. It is the id itself, except for further texts of an id, whose nodes are numbers above
+    all ids; so a component's least node is always an id, as long as an id's nodes are linked.
+    """
+    several = every.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("first"), F.max("digest").alias("last")).filter("first <> last")
+    several = written(several.select("doc_id", "first"))
+    count = several.count()
+    if not count:
+        return every.withColumn("node", F.col("doc_id")), None
+    above = every.agg(F.max("doc_id")).first()[0] + 1
+    marks = bitmap(several, "doc_id", count)
+    texts = maybe_in(every, F.col("doc_id"), marks).filter("digest IS NOT NULL").select("doc_id", "digest").distinct().join(several, "doc_id")
+    texts = written(texts.withColumn("number", F.monotonically_increasing_id()))
+    texts = texts.select("doc_id", "digest", F.when(F.col("digest") == F.col("first"), F.col("doc_id")).otherwise(F.col("number") + F.lit(above)).alias("node"))
+    found = every.join(texts.withColumnRenamed("node", "own"), ["doc_id", "digest"], "left")
+    return found.withColumn("node", F.coalesce("own", "doc_id")).drop("own"), texts
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept.
 
-    Documents without words have no shingles and link with nothing; null text counts as such. Rows that repeat an id are
-    links to themselves. A null id is no document and is left out of links.
+    Documents without words have no shingles and link with nothing; null text counts as such. Rows that repeat an id are one
+    document: each has the n_shingles of its own text, all texts link, and the id's component holds what any of them links with. A null id is
+    no document and is left out of links.
     """
     every = written(sketch(docs, id_col, text_col))
-    classes = written(every.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min_by(F.struct("n_shingles", "sig"), "doc_id").alias("of"), F.min("doc_id").alias("rep")))
+    every, several = with_nodes(every)
+    classes = written(every.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min_by(F.struct("n_shingles", "sig", "doc_id"), "node").alias("of"), F.min("node").alias("rep")))
+    tasks = 3 * docs.sparkSession.sparkContext.defaultParallelism
     reps = classes.select("rep", "of.n_shingles", "of.sig")
-    keyed = reps.select("rep", F.posexplode(F.array(*chunk_keys(chunks_for(percent)))).alias("slot", "key"))
+    # keys are many times the rows they come from: small files of classes must not mean few tasks
+    keyed = reps.repartition(tasks).select("rep", F.posexplode(F.array(*chunk_keys(chunks_for(percent)))).alias("slot", "key"))
     shared = written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     marks = bitmap(shared, "key", shared.count())
     members = written(maybe_in(keyed, F.col("key"), marks).join(shared, "key"))
@@ -184,11 +212,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = F.struct("degree", -F.col("rep"))
     hubs = written(ranked.groupBy("key").agg(F.max_by("rep", order).alias("hub"), F.max(order).alias("rank")))
     meets = ranked.join(hubs, "key").filter("rep <> hub").groupBy("rep").agg(F.max_by("hub", "rank").alias("hub"))
-    involved = written(ranked.select("rep").distinct())
-    wanted = bitmap(involved, "rep", involved.count())
+    involved = written(classes.select("digest", "rep", "of.doc_id").join(ranked.select("rep").distinct(), "rep", "left_semi"))
+    wanted = bitmap(involved, "doc_id", involved.count())
     some = maybe_in(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), F.col("doc_id"), wanted)
-    sets = written(shingle_sets(some, "doc_id", "text").join(involved, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]))
-    links = written(confirmed(meets.select(F.col("rep").alias("a"), F.col("hub").alias("b")), sets, percent))
+    sets = written(shingle_sets(some, "text").join(involved.select("digest", "rep"), "digest").dropDuplicates(["rep"]).select("rep", "shingles"))
+    links = confirmed(meets.select(F.col("rep").alias("a"), F.col("hub").alias("b")), sets, percent)
+    if several is not None:
+        of_id = several.join(classes.select("digest", "rep"), "digest").groupBy("doc_id").agg(F.min("rep").alias("b"))
+        own = several.join(classes.select("digest", "rep"), "digest").join(of_id, "doc_id").filter("rep <> b")
+        links = links.unionByName(own.select(F.col("rep").alias("a"), "b").distinct())
+    links = written(links)
     members = ranked.select("key", "slot", "rep")
     held = open_members(members, components(links))
     able = written(linkable(held, reps, sets, percent))
@@ -196,8 +229,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = open_members(held.select("key", "slot", "rep"), components(links))
     links = links.unionByName(confirmed(crossing_pairs(held, able, percent), sets, percent))
     final = components(links).select(F.col("node").alias("rep"), "root")
-    of_class = written(classes.select("digest", "rep").join(final, "rep", "left").select("digest", F.coalesce("root", "rep").alias("root")))
-    out = every.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
+    of_class = classes.select("digest", "rep").join(final, "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
+    if several is not None:
+        # a class of further texts alone has no id for its least node, but its component has
+        least = several.join(of_class, "digest").groupBy("root").agg(F.min("doc_id").alias("least"))
+        of_class = of_class.join(least, "root", "left").select("digest", F.least("root", "least").alias("root"))
+    out = every.select("doc_id", "n_shingles", "digest").join(written(of_class), "digest", "left")
     component = F.coalesce("root", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -217,7 +254,7 @@ def linkable(held: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) ->
     lonely counts shingles that no other document of an open key has: they are no part of any such link's intersection.
     """
     docs = held.select("rep").distinct()
-    each = sets.join(docs, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), F.explode("shingles").alias("s"))
+    each = sets.join(docs, "rep", "left_semi").select("rep", F.explode("shingles").alias("s"))
     alone = each.groupBy("s").agg(F.count("*").alias("docs"), F.min("rep").alias("rep")).filter("docs = 1")
     lonely = alone.groupBy("rep").agg(F.count("*").alias("lonely"))
     out = docs.join(lonely, "rep", "left").join(reps, "rep").select("rep", "n_shingles", "sig", F.coalesce("lonely", F.lit(0)).cast("bigint").alias("lonely"))

@@ -119,6 +119,16 @@ def test_near_odd_tables(spark):
     assert near_dedup.near_duplicates(no_documents(spark)).count() == 0
 
 
+def test_near_ids_on_several_texts(spark):
+    rng = random.Random(6)
+    one, two, three = (" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(80)) for c in "xyz")
+    near = lambda t, k: " ".join("new" if n == k else w for n, w in enumerate(t.split()))
+    rows = [(1, one), (5, near(one, 3)), (5, two), (7, near(two, 4)), (9, near(two, 70)), (9, three), (12, near(three, 9)), (20, "alone with nothing near it at all"), (20, None), (5, two)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got.itertuples()} == {1: 1, 5: 1, 7: 1, 9: 1, 12: 1, 20: 20}
+    assert got[got.doc_id == 20].n_shingles.sort_values().tolist() == [0, 3]
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(0, 60)] + [(100, 101), (105, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in near_dedup.components(chain).collect()}
