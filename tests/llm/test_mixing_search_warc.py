@@ -1,4 +1,11 @@
+import gzip
+import time
+import zlib
+from html.parser import HTMLParser
+from urllib.parse import urljoin
+
 import numpy as np
+import pandas as pd
 from helpers import no_documents, odd_documents
 from pyspark.sql import functions as F
 
@@ -173,6 +180,74 @@ def test_plain_text_of_unclosed_markup():
     assert warc.plain_text("x" * 200_000) == "x" * 200_000
 
 
+def test_long_pages_of_unclosed_markup():
+    began = time.perf_counter()
+    for piece in ("<a", "<html", "<title", "<!", "<a href=", "<a href='", "<script", "</script", "&#1", "<!-", "<p lang=", "< ", "<a href=x <"):
+        for page in (piece * (1_000_000 // len(piece)), piece * (300_000 // len(piece)) + ">" + piece * (300_000 // len(piece))):
+            warc.read_page(page, "http://h/")
+    assert warc.read_page("&#" + "1" * 10_000 + "; &#" + "0" * 10_000 + "65;").text == "\ufffd A"
+    assert time.perf_counter() - began < 40
+
+
+class Plain(HTMLParser):
+    """Text and anchors as another parser sees them."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden, self.links = [], [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in warc.BLOCKS:
+            self.out.append("\n")
+        if tag in warc.RAW:
+            self.hidden.append(tag)
+        elif tag == "a" and not self.hidden and dict(attrs).get("href") is not None:
+            self.links.append(dict(attrs)["href"].strip())
+
+    def handle_endtag(self, tag):
+        if tag in warc.BLOCKS and not self.hidden:
+            self.out.append("\n")
+        if self.hidden and tag == self.hidden[-1]:
+            self.hidden.pop()
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data)
+
+
+def test_pages_against_another_parser():
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet")
+    same = 0
+    for url, page in zip(pages.url, pages.html, strict=True):
+        own, other = warc.read_page(page or "", url or ""), Plain()
+        other.feed(page or "")
+        other.close()
+        assert own.links == list(dict.fromkeys(urljoin(url or "", x) for x in other.links))
+        same += own.text.split() == "".join(other.out).split()
+    assert same == len(pages)
+
+
+def test_warc_encodings(spark):
+    body = "<html lang=fr><title>été</title><p>un &amp; deux</p>".encode()
+    chunked = b"".join(b"%x;n=1\r\n%s\r\n" % (len(body[k : k + 9]), body[k : k + 9]) for k in range(0, len(body), 9)) + b"0\r\n\r\n"
+    packed = gzip.compress(body)
+    cases = [("", "", body), ("Transfer-Encoding: chunked", "", chunked), ("", "Content-Encoding: gzip", packed), ("content-encoding: deflate", "", zlib.compress(body)), ("", "Content-Encoding: gzip", body), ("Transfer-Encoding: chunked", "", body)]
+    rows = []
+    for k, (a, b, payload) in enumerate(cases):
+        fields = "\r\n".join(x for x in ("HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", a, b) if x)
+        rows.append((k, b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x>\r\n\r\n" + fields.encode() + b"\r\n\r\n" + payload))
+    got = warc.derive(spark.createDataFrame(rows, "page_id long, warc binary")).collect()
+    assert [bytes(r["block"]).decode() for r in got if r["type"] == "conversion"] == ["été\nun & deux"] * 6
+    assert all(b"title: \xc3\xa9t\xc3\xa9\r\nlanguage: fr\r\n" in bytes(r["block"]) for r in got if r["type"] == "metadata")
+    assert {r["page_id"]: r["headers"]["WARC-Payload-Digest"] for r in got} == {0: warc.digest(body), 1: warc.digest(body), 2: warc.digest(packed), 3: warc.digest(zlib.compress(body)), 4: warc.digest(body), 5: warc.digest(body)}
+
+
+def test_warc_ids_of_repeated_pages(spark):
+    pages = spark.createDataFrame([(1, "u", "a"), (1, "u", "b"), (1, "u", "b")], "page_id long, url string, html string")
+    got = warc.derive(warc.responses(pages)).collect()
+    assert len(got) == 6 and len({r["record_id"] for r in got}) == 4 and len({r["refers_to"] for r in got}) == 2
+
+
 def test_topk_sql(spark, duck):
     a = topk.op8_topk(spark, "/root/testdata/sf0.001").orderBy("query_id", "rank").select("query_id", "rank", "vec_id", "distance").toPandas()
     b = duck.execute(f"SELECT query_id, rank, vec_id, distance FROM ({topk.SQL}) ORDER BY 1, 2").df()
