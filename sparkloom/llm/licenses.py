@@ -69,8 +69,8 @@ TEXTS = Path(__file__).parent / "texts"
 COPYRIGHT = r"(?m)^[\x20\x09]*(?:[*#/;-]+[\x20\x09]*)?(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 
 
-#: What every known unit contains, so that other units need no digest.
-MARK = r"(?i)licen[cs]|permission|permitted|\b(?:MIT|ISC|BSD|MPL|GPL|LGPL|AGPL|CC0|CC|BSL|EPL|Apache)\b"
+#: What every known unit contains, so that other units need no digest. Names end where the canonical form ends words: beside anything but letters and digits.
+MARK = r"(?i)licen[cs]|permission|permitted|(?<![\p{L}\p{N}])(?:MIT|ISC|BSD|MPL|GPL|LGPL|AGPL|CC0|CC|BSL|EPL|Apache)(?![\p{L}\p{N}])"
 #: Blank lines between paragraphs.
 BLANK = r"\r?\n(?:[\x20\x09]*\r?\n)+"
 
@@ -155,7 +155,7 @@ def embedded(text: Column, runs: dict[str, set[tuple[int, str, str]]]) -> Column
 def document_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, canonical_sha256 of the entire text, license of the entire text or null, notices found.
 
-    notices is a sorted array of "license@unit:number"; a run's number is its first line. Each row stands alone: no exchange, repeated rows each answer.
+    notices is a sorted array of "license@unit:number"; a run's number is its first line. Each row stands alone: no exchange, repeated rows each answer. Null and empty texts have the digest of an empty text, no license and no notices.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     table_of = {r["digest"]: r["license"] for r in known(docs.sparkSession).collect()}
