@@ -21,8 +21,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?<![A-Za-z0-9_@+.%-])(?=[A-Za-z_.%+-]*+[0-9@])[A-Za-z0-9+][A-Za-z0-9_.%+@-]*+(?:\x20?[(]?[0-9][0-9().-]*+)*+"
 BYTE = r"0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]?)"
-#: Characters of text before a token that its pattern may use.
-CONTEXT = 64
+#: The last two words, backwards, of a text that is read backwards, without space and brackets at its end.
+BEFORE = r"^[\x20\x09-\x0D(]*+([^\x20\x09-\x0D]++(?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)?)"
 
 
 def find_all(text: str, pattern: str, gaps: bool = False) -> Column:
@@ -34,7 +34,7 @@ def find_all(text: str, pattern: str, gaps: bool = False) -> Column:
     return F.expr(f"""
     transform(array(struct(split({text}, {quoted}, -1) as gs, regexp_extract_all({text}, {quoted}, 0) as ms)), p ->
       transform(array(zip_with(slice(p.gs, 1, size(p.ms)), p.ms, (g, t) ->
-        named_struct('a', cast(char_length(g) as bigint), 'b', cast(char_length(t) as bigint), 't', t {", 'g', right(g, " + str(CONTEXT) + ")" if gaps else ""}))), steps ->
+        named_struct('a', cast(char_length(g) as bigint), 'b', cast(char_length(t) as bigint), 't', t {", 'g', g" if gaps else ""}))), steps ->
       transform(array(transform(sequence(0, (greatest(size(steps), 1) - 1) div 256), k -> slice(steps, cast(k * 256 + 1 as int), 256))), blocks ->
         flatten(zip_with(blocks,
           slice(aggregate(transform(blocks, b -> aggregate(b, 0L, (acc, x) -> acc + x.a + x.b)), array(0L), (acc, n) -> concat(acc, array(element_at(acc, -1) + n))), 1, size(blocks)),
@@ -88,7 +88,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     tokens = _if(F.col("text").rlike("[0-9@]"), find_all("text", TOKEN, gaps=True), gaps=True)
     trimmed = lambda x: F.regexp_replace(x["t"], "[^A-Za-z0-9]+$", "")
-    words = lambda x: F.lower(F.regexp_extract(x["g"], r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+)?([^\x20\x09-\x0D]+)[\x20\x09-\x0D(]*$", 0))
+    # read backwards and anchored, a gap of any length costs only what its last two words cost
+    words = lambda x: F.lower(F.reverse(F.regexp_extract(F.reverse(x["g"]), BEFORE, 1)))
     flat = src.select(
         "doc_id",
         base_spans().alias("base_spans"),
@@ -98,7 +99,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
                 x["s"].alias("s"),
                 (x["s"] + F.char_length(trimmed(x))).alias("e"),
                 F.lower(trimmed(x)).alias("token"),
-                F.trim(F.regexp_replace(words(x), r"[\x20\x09-\x0D]+", " ")).alias("pattern"),
+                F.regexp_replace(words(x), r"[\x20\x09-\x0D]+", " ").alias("pattern"),
             ),
         ).alias("tokens"),
     )
@@ -140,5 +141,5 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("base_spans", lambda x: x["kind"] == k)).cast("bigint")
     return out.select(
         "doc_id", *(count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)),
-        F.sha2(_joined(F.col("base_spans")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"),
+        F.sha2(_joined(F.col("base_spans")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("spans").cast("bigint").alias("n_spans"),
     )

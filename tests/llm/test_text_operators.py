@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from helpers import no_documents, odd_documents
 
 from sparkloom.llm import bpe, ctw, licenses, pii, toxicity
@@ -50,6 +51,54 @@ def test_pii_contexts_discover(spark):
     assert all(got[k] == spans(t) for k, t in rows if k >= 10)
 
 
+def brute_discovery(rows, rounds=3, accept=0.7, support=3.0):
+    """Spans of each document beside its base ones, from scores over all pairs of patterns and tokens."""
+    seen = []
+    for i, text in rows:
+        own = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in spans(text).split(",") if x)]
+        last = 0
+        for m in regex.finditer(pii.TOKEN, text or ""):
+            token = regex.sub("[^A-Za-z0-9]+$", "", m[0])
+            before, last = text[last : m.start()], m.end()
+            before = regex.sub(r"[\x20\x09-\x0D(]+$", "", before)
+            pattern = " ".join([w for w in regex.split(r"[\x20\x09-\x0D]+", before) if w][-2:]).lower()
+            s, e = m.start(), m.start() + len(token)
+            seed = next((k for kind in pii.KINDS for k, a, b in own if k == kind and a < e and b > s), None)
+            if token and pattern:
+                seen.append((i, s, e, token.lower(), pattern, seed))
+    edges = {(p, t) for _, _, _, t, p, _ in seen}
+    belief = {(t, k): 1.0 for _, _, _, t, _, k in seen if k}
+    fits = lambda t, k: "@" in t if k == "email" else sum(c.isdigit() for c in t) >= 6
+    scores = {}
+    for _ in range(rounds):
+        scores = {}
+        for p, t in edges:
+            for k in pii.KINDS:
+                if (t, k) in belief:
+                    scores[p, k] = scores.get((p, k), 0) + belief[t, k]
+        tokens = Counter(p for p, _ in edges)
+        scores = {(p, k): h / tokens[p] for (p, k), h in scores.items() if h >= support and h / tokens[p] >= accept}
+        for p, t in edges:
+            for k in pii.KINDS:
+                if (p, k) in scores and fits(t, k):
+                    belief[t, k] = max(belief.get((t, k), 0), scores[p, k])
+    out = set()
+    for i, s, e, t, p, seed in seen:
+        kinds = [(scores[p, k], -pii.KINDS.index(k), k) for k in pii.KINDS if (p, k) in scores]
+        if not seed and kinds and fits(t, max(kinds)[2]):
+            out.add((i, max(kinds)[2], s, e))
+    return out
+
+
+def test_pii_discovery_against_brute_force(spark):
+    rows = [(1000 + r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(k, f"text {k} please   call\n+1 (212) 555-{k:04d} now, server at ({k}.1.2.3)") for k in range(10, 30)] + [(1, "word please call 212 555 7788 now"), (2, "the year 1999123456 of it " * 40)]
+    rows += [(3, "x" * 5000 + " please call 212 555 7799"), (4, "please " + "y" * 5000 + " 212 555 7799 server at 10.0.0.999999"), (5, None), (6, "")]
+    got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    more = {(r["doc_id"], pii.KINDS[x["kind"]], x["s"], x["e"]) for r in got for x in r["spans"] if x not in r["base_spans"]}
+    assert more == brute_discovery(rows) and {(1, "phone", 17, 29), (3, "phone", 5013, 5025)} <= more
+
+
 @pytest.fixture(scope="module")
 def tiktoken_encoding():
     import public_tokenizers as public
@@ -87,7 +136,7 @@ def test_licenses(spark):
 def test_full_licenses_inside_documents(spark):
     texts = {f.stem: f.read_text() for f in licenses.TEXTS.glob("*.txt")} | {"MIT": licenses._MIT, "ISC": licenses._ISC}
     assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "Unlicense", "MIT", "ISC"} == set(texts)
-    assert all(re.search(licenses.MARK, text) for _, text in licenses.known_texts())
+    assert all(regex.search(licenses.MARK, text) for _, text in licenses.known_texts())
     names = sorted(texts)
     rows = [(f"{n} alone", texts[n]) for n in names]
     rows += [(f"{n} inside", "Some tool\r\n \r\nCopyright (c) 2020 Me\r\n\r\n" + texts[n].strip().replace("\n", "\r\n") + "\r\n\r\nmore prose") for n in names]
@@ -103,6 +152,46 @@ def test_full_licenses_inside_documents(spark):
     assert not any("@run" in x for k in ("cut", "longer") for x in got[k][1])
 
 
+def plain_canonical(text):
+    out = regex.sub(r"(?m)^[\x20\x09]*(?:[*#/;-]+[\x20\x09]*)?(?:copyright|\(c\)|©|all rights reserved)[^\n]*$", " ", (text or "").lower())
+    out = " ".join(regex.findall(r"[\p{L}\p{N}]+", out))
+    for a, b in sorted(licenses.EQUAL.items(), key=lambda x: -len(x[0])):
+        out = regex.sub(rf"\b{a.replace('-', ' ')}\b", b, out)
+    return out
+
+
+def plain_licenses(text, known, full):
+    """(license of the whole text, notices) by comparing every unit's canonical text with every known one."""
+    text, notices = text or "", []
+    lines, paragraphs = text.split("\n"), regex.split(licenses.BLANK, text)
+    for unit, parts in (("line", lines), ("paragraph", paragraphs)):
+        if len(parts) > 1:
+            notices += [f"{known[c]}@{unit}:{k}" for k, part in enumerate(parts, 1) if (c := plain_canonical(part)) in known]
+    if len(lines) > 1:
+        for k in range(len(lines)):
+            rest = plain_canonical("\n".join(lines[k:]))
+            head = plain_canonical(lines[k])
+            if head:
+                notices += {f"{name}@run:{k + 1}" for name, whole in full if (rest + " ").startswith(whole + " ") and whole.startswith(" ".join(head.split()[:2]))}
+    return known.get(plain_canonical(text)), sorted(notices)
+
+
+def test_licenses_against_brute_force(spark):
+    known = {}
+    for name, text in licenses.known_texts():
+        c = plain_canonical(text)
+        known[c] = min(name, known.get(c, name))
+        assert regex.search(licenses.MARK.replace("(?i)", ""), text, regex.I), text[:80]
+    full = [(name, plain_canonical(text)) for name, text in licenses.full_texts()]
+    odd = ["Released under _MIT_", "GPL_3.0\nand more", "x\n__Apache-2.0__\ny", "permit the limit\nMITx", "a\n\nMIT\n\n" + licenses._ISC, "# MIT License\n\n" + licenses._MIT + "\nend", "Licensed under the MIT licence.\n(c) 2020 x\n", None, "", "©"]
+    rows = [(k, t) for k, t in enumerate(odd)] + [(1000 + r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = {r["doc_id"]: r for r in licenses.document_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, text in rows:
+        r = got[k]
+        assert (r["license"], r["notices"], r["canonical_sha256"]) == (*plain_licenses(text, known, full), hashlib.sha256(plain_canonical(text).encode()).hexdigest()), (k, text)
+    assert [got[k]["license"] for k in (0, 6)] == ["MIT", "MIT"] and "Apache-2.0@line:2" in got[2]["notices"] and "GPL-3.0-only@line:1" in got[1]["notices"]
+
+
 def test_log_kt():
     for a, b in ((0, 0), (3, 0), (2, 5), (40, 1)):
         p, zeros, ones = 0.0, 0, 0
@@ -225,3 +314,33 @@ def test_toxicity_learns_and_holds_out(spark):
     assert {r["doc_id"] for r in clean.collect()} == {k for k, x in got.items() if x < 0.3}
     none = toxicity.fit(docs, known.limit(0))
     assert toxicity.score(no_documents(spark), none).count() == 0 and toxicity.score(odd_documents(spark), none).count() == 12
+
+
+def test_label_model_estimates_voters_and_the_label():
+    rng = np.random.default_rng(4)
+    n = 6000
+    truth = rng.random(n) < 0.15
+    rates = [(0.8, 0.02), (0.7, 0.01), (0.6, 0.03), (0.75, 0.02)]
+    votes = np.stack([np.where(rng.random(n) < np.where(truth, a, b), 1, -1) for a, b in rates], axis=1)
+    # a voter that repeats the first one is no news
+    votes = np.hstack([votes, votes[:, :1]]).astype(np.int8)
+    gold = np.where(rng.random(n) < 0.5, np.where(rng.random(n) < 0.03, 1 - truth, truth), np.nan).astype(float)
+    post, found, groups = toxicity.label_model(votes, gold, 0.1)
+    assert np.abs(found[:4] - rates).max() < 0.05 and abs(found[-1, 0] - 0.97) < 0.03 and found[-1, 1] < 0.06
+    assert [0, 4] in groups and len(groups) == 4
+    assert ((post > 0.5) == truth).mean() > 0.97
+    # where there is no label, votes alone decide
+    free = np.isnan(gold)
+    assert ((post[free] > 0.5) == truth[free]).mean() > 0.96
+    flipped = votes.copy()
+    flipped[free] = -flipped[free]
+    assert np.abs(toxicity.label_model(flipped, gold, 0.1)[0][free] - post[free]).mean() > 0.2
+
+
+def test_toxicity_of_equal_texts_with_different_labels(spark):
+    rows = [(k, "same text of all") for k in range(40)] + [(k, f"other text number{k % 7}") for k in range(40, 80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(k, int(k % 2)) for k in range(80)] + [(3, 0), (3, 1), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.sample_rows(docs, known, "doc_id", "text", 100).collect()
+    assert sorted((r["text"], r["toxic"]) for r in got)[-1] == ("same text of all", 1.0) and len({r["text"] for r in got}) == len(got) == 7
+    assert toxicity.sample_rows(docs, known, "doc_id", "text", 10).count() <= 8
