@@ -1,9 +1,11 @@
 """Exact top-k of binary codes by incremental multi-index hashing.
 
-Codes are dealt into blocks of rows. In each block, every segment of the codes has a table from segment value to rows. All queries
-search each block: the radius of segment search grows until the k-th verified Hamming distance can't be beaten by any code
-that no segment has met yet, so each block's answer is provably exact, and so is the merge of the blocks' best k.
-Queries are a stated set; they are sent to every block, and blocks stay of one size as rows grow.
+Codes are dealt into blocks, large enough that an index answers with far fewer probes than a scan has codes. In a block, every
+segment of the codes has a table from segment value to rows. The radius of segment search grows until the k-th verified
+Hamming distance can't be beaten by any code that no segment has met yet, so a block's answer is provably exact, and so is the
+merge of the blocks' best k. Each query first searches the block that its own code belongs to; the k-th distance found there
+bounds the search of all others. Of rows with equal codes only the k + 1 least ids can be among anyone's k, so no more are indexed.
+Queries are a stated set; they are dealt into slices, and a task searches one block for one slice.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 from sparkloom.llm.tables import table, written
 
 BITS, SEGMENTS, K = 64, 4, 10
-#: Rows of a block, and the most partitions that blocks are dealt to.
-BLOCK, TASKS = 8192, 8192
+#: Codes of a block, queries of a slice, and the most partitions that pairs of them are dealt to.
+BLOCK, SLICE, TASKS = 1 << 18, 2048, 1 << 16
 WIDTH = BITS // SEGMENTS
 
 
@@ -30,7 +32,7 @@ def masks(radius: int) -> np.ndarray:
 
 class Index:
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
+        self.codes, self.met, self.verified = codes, np.zeros(len(codes), dtype=bool), 0
         self.order, self.starts = [], []
         for s in range(SEGMENTS):
             value = self.segment(codes, s)
@@ -41,11 +43,10 @@ class Index:
     def segment(codes: np.ndarray, s: int) -> np.ndarray:
         return ((codes >> np.uint64(s * WIDTH)) & np.uint64((1 << WIDTH) - 1)).astype(np.int64)
 
-    def search(self, query: np.uint64, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and distances of all codes, but row `own`, within the k-th distance (ties stay); all if there are no k others."""
-        met = np.zeros(len(self.codes), dtype=bool)
+    def search(self, query: np.uint64, own: int, k: int, bound: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and distances of all codes, but row `own`, within the k-th distance and `bound` (ties stay); all within it if there are no k others."""
         if own >= 0:
-            met[own] = True
+            self.met[own] = True
         rows, distances = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         values = [int(self.segment(np.array([query]), s)[0]) for s in range(SEGMENTS)]
         for radius in range(WIDTH + 1):
@@ -58,18 +59,21 @@ class Index:
                     continue
                 at = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
                 found = self.order[s][at]
-                found = found[~met[found]]
-                met[found] = True
+                found = found[~self.met[found]]
+                self.met[found] = True
                 rows.append(found)
                 distances.append(np.bitwise_count(self.codes[found] ^ query).astype(np.int64))
             rows, distances = [np.concatenate(rows)], [np.concatenate(distances)]
             # a code that no segment has met differs by more than radius in each
-            if len(rows[0]) >= k and np.partition(distances[0], k - 1)[k - 1] < SEGMENTS * (radius + 1):
+            limit = min(bound, np.partition(distances[0], k - 1)[k - 1]) if len(rows[0]) >= k else bound
+            if limit < SEGMENTS * (radius + 1):
                 break
-        if len(rows[0]) > k:
-            keep = distances[0] <= np.partition(distances[0], k - 1)[k - 1]
-            return rows[0][keep], distances[0][keep]
-        return rows[0], distances[0]
+        self.met[rows[0]] = False
+        if own >= 0:
+            self.met[own] = False
+        self.verified = len(rows[0])
+        keep = distances[0] <= limit
+        return rows[0][keep], distances[0][keep]
 
 
 _MASKS: dict[int, np.ndarray] = {}
@@ -88,36 +92,60 @@ def sign_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     return vectors.select(F.col(id_col).alias("vec_id"), F.expr(f"({bits}) | ({top})").alias("code"))
 
 
-def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """query_id, rank (from 1), vec_id, distance: the k nearest other codes of each query, ties by id.
+FOUND = "query_id bigint, vec_id bigint, distance bigint"
 
-    codes and queries have vec_id and code. A row never answers itself; rows that repeat an id are one. Fewer than k others
-    give fewer rows. Null ids are left out.
+
+def searched(dealt: DataFrame, asked: DataFrame, blocks: int, slices: int, k: int) -> DataFrame:
+    """query_id, vec_id, distance: each asked query's best k, within its bound, of the block that it is asked of.
+
+    dealt holds vec_id, code, block; asked holds query_id, code, block, bound.
     """
-    codes = written(codes.filter("vec_id IS NOT NULL").dropDuplicates(["vec_id"]))
-    blocks = max(1, -(-codes.count() // BLOCK))
-    queries = queries.filter("vec_id IS NOT NULL").dropDuplicates(["vec_id"])
-    dealt = codes.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    slice_ = F.pmod(F.xxhash64(F.lit(3), "query_id"), F.lit(slices))
+    asked = asked.withColumn("slice", slice_)
+    dealt = dealt.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))))
 
     def work(own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        ids, values = own["vec_id"].to_numpy(), own["code"].to_numpy().view(np.uint64)
-        order = np.argsort(ids)
-        ids, values = ids[order], values[order]
-        index = Index(values)
-        out = []
-        for query, code in zip(ask["vec_id"], ask["code"].to_numpy().view(np.uint64), strict=True):
-            at = int(np.searchsorted(ids, query))
-            rows, distances = index.search(code, at if at < len(ids) and ids[at] == query else -1, k)
-            best = np.lexsort((ids[rows], distances))[:k]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[rows[best]], "distance": distances[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "distance": []}).astype("int64")
-
-    # blocks are small in bytes but not in work: a partition each, which adaptive execution leaves apart
-    tasks = min(blocks, TASKS)
-    near = dealt.repartition(tasks, "block").groupBy("block").cogroup(asked.repartition(tasks, "block").groupBy("block")).applyInPandas(work, "query_id bigint, vec_id bigint, distance bigint")
+        out = [pd.DataFrame({"query_id": [], "vec_id": [], "distance": []}).astype("int64")]
+        if len(own) and len(ask):
+            ids, values = own["vec_id"].to_numpy(), own["code"].to_numpy().view(np.uint64)
+            order = np.argsort(ids)
+            ids, values = ids[order], values[order]
+            index = Index(values)
+            for query, code, bound in zip(ask["query_id"], ask["code"].to_numpy().view(np.uint64), ask["bound"], strict=True):
+                at = int(np.searchsorted(ids, query))
+                rows, distances = index.search(code, at if at < len(ids) and ids[at] == query else -1, k, int(bound))
+                best = np.lexsort((ids[rows], distances))[:k]
+                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[rows[best]], "distance": distances[best]}))
+        return pd.concat(out)
+
+    # pairs of block and slice are small in bytes but not in work: a partition each, which adaptive execution leaves apart
+    tasks, on = min(blocks * slices, TASKS), ["block", "slice"]
+    return dealt.repartition(tasks, *on).groupBy(*on).cogroup(asked.repartition(tasks, *on).groupBy(*on)).applyInPandas(work, FOUND)
+
+
+def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+    """query_id, rank (from 1), vec_id, distance: the k nearest other codes of each query, ties by id.
+
+    codes and queries have vec_id and code. A row never answers itself; of rows that repeat an id the least code counts. Fewer than
+    k others give fewer rows. Null ids and codes are left out.
+    """
+    own = codes.filter("vec_id IS NOT NULL AND code IS NOT NULL").groupBy("vec_id").agg(F.min("code").alias("code"))
+    place = F.row_number().over(Window.partitionBy("code").orderBy("vec_id"))
+    codes = written(own.withColumn("place", place).filter(F.col("place") <= k + 1).drop("place"))
+    asked = written(queries.filter("vec_id IS NOT NULL AND code IS NOT NULL").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("code").alias("code")))
+    blocks, count = max(1, -(-codes.count() // BLOCK)), asked.count()
+    home = F.pmod(F.xxhash64("code"), F.lit(blocks))
+    dealt = codes.withColumn("block", home)
+    first = searched(dealt, asked.withColumn("block", home).withColumn("bound", F.lit(BITS)), blocks, max(1, -(-count // blocks // SLICE)), k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k)
+    if blocks > 1:
+        first = written(first)
+        bounds = first.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("worst"))
+        bound = F.when(F.col("n") >= k, F.col("worst")).otherwise(F.lit(BITS)).cast("int")
+        others = asked.join(bounds, "query_id", "left").withColumn("home", home).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+        others = others.filter("block <> home").select("query_id", "code", "block", F.coalesce(bound, F.lit(BITS)).alias("bound"))
+        first = first.unionByName(searched(dealt, others, blocks, max(1, -(-count // SLICE)), k))
+    return first.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

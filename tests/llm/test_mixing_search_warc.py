@@ -146,6 +146,34 @@ def test_topk_against_brute_force(spark, monkeypatch):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0 and topk.top_k(df.filter("vec_id < 3"), df.filter("vec_id = 0")).count() == 2
 
 
+def test_index_does_less_than_a_scan():
+    codes = np.random.default_rng(5).integers(0, 1 << 63, topk.BLOCK, dtype=np.uint64) * np.uint64(2)
+    index = topk.Index(codes)
+    for row in range(0, len(codes), len(codes) // 8):
+        rows, distances = index.search(codes[row], row, 10)
+        every = np.bitwise_count(codes ^ codes[row]).astype(np.int64)
+        every[row] = 99
+        assert sorted(distances)[:10] == sorted(every)[:10] and index.verified < len(codes) / 4
+        near = index.search(codes[row], row, 10, 4)[0]
+        assert set(near) == set(np.flatnonzero(every <= 4)) and not index.met.any()
+
+
+def test_topk_repeated_ids_and_codes(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    monkeypatch.setattr(topk, "SLICE", 30)
+    rng = np.random.default_rng(6)
+    rows = [(k, 5 if k % 3 else int(rng.integers(-(1 << 62), 1 << 62)), "x") for k in range(300)] + [(7, 4, "y"), (7, 9, "y"), (None, 5, "z"), (400, None, "z")]
+    codes = spark.createDataFrame(rows, "vec_id long, code long, block string")
+    got = topk.top_k(codes, codes.filter("vec_id % 2 = 1")).collect()
+    own = {}
+    for i, c, _ in rows:
+        if i is not None and c is not None:
+            own[i] = min(c, own.get(i, c))
+    want = {(q, r + 1, v, d) for q in own if q % 2 == 1 for r, (d, v) in enumerate(sorted((((own[q] ^ c) & (1 << 64) - 1).bit_count(), v) for v, c in own.items() if v != q)[:10])}
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["distance"]) for r in got} == want
+    assert topk.top_k(codes.limit(0), codes).count() == 0 and topk.top_k(codes, codes.limit(0)).count() == 0
+
+
 def test_sign_codes(spark):
     df = spark.createDataFrame([(1, [1.0] * 64), (2, [-1.0] * 63 + [0.0]), (3, None), (4, [1.0, None])], "vec_id long, embedding array<float>")
     assert {r["vec_id"]: r["code"] for r in topk.sign_codes(df).collect()} == {1: -1, 2: -(1 << 63), 3: 0, 4: 1}
