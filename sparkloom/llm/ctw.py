@@ -5,11 +5,13 @@ choice, a node of the byte's binary tree, has its own tree of contexts of 0 to D
 Krichevsky-Trofimov estimate is mixed with the product of the longer contexts' mixtures, half and half, so all depths
 are weighted by how well they coded the training texts. Scoring uses the trained tree as it stands.
 
-Counts. Each input split is reduced to packed arrays: its distinct byte runs of DEPTH + 1, grouped by their last two context bytes,
-and its distinct token hashes, grouped by leading bits. Groups are merged in rounds of bounded fan-in into one corpus-wide
-table, which grows with the corpus and is never broadcast; only the mixtures of contexts of one and no bytes (at most 256 * 256
-numbers) travel with the code. Splits then ask the groups for the values of exactly the runs and tokens they hold,
-and each split's texts are scored as a stream beside its own answers. Texts are exchanged once.
+Counts. Splits are fixed ranges of a file's rows. Each is reduced to packed arrays: its distinct byte runs of DEPTH + 1, grouped by their
+last two context bytes, and its distinct token hashes, grouped by leading bits. A group's arrays are merged FAN at a time, round by round,
+into one corpus-wide array, which grows with the corpus and is never broadcast; only the mixtures of contexts of one and no bytes (at most
+256 * 256 numbers) travel with the code. Held-out texts take part with counts of zero: so the last array holds every run that any split
+asks for, and is answered once. Answers go back down the same tree: each merged array hands its values to the at most FAN
+arrays, or so, that it was made from. No array is copied for more. Each split's texts are then scored as a stream beside its own answers.
+Texts are exchanged once.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +35,10 @@ END = 10
 RUNS, TOKENS = 0, 1
 #: Arrays that one merge or one answer takes together.
 FAN = 64
+#: Bytes of text of a split, keys that are answered at once, and the most partitions that splits are dealt to.
+SPLIT, ONCE, TASKS = 16 << 20, 1 << 20, 1 << 17
+#: Log probabilities are added up in steps of 1 / STEP.
+STEP = 1 << 20
 #: Leading bits of a token hash that make its group.
 GROUP_BITS = 8
 END_TOKEN = U(0xE17D0E17D0E17D07)
@@ -155,22 +162,33 @@ def packed_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, schema)
 
 
-def merged(parts: DataFrame, splits: int) -> DataFrame:
-    """kind, grp, keys, counts of the training texts: a group's arrays merged FAN at a time, round by round."""
-    parts = parts.select("kind", "grp", F.pmod(F.xxhash64("split"), F.lit(1 << 30)).alias("slot"), "keys", "counts")
+SHAPE = "kind int, grp int, slot bigint, keys binary, counts binary"
+
+
+def merged(parts: DataFrame, splits: int) -> list[DataFrame]:
+    """The levels of the merge tree: parts (slot: a hash of the split), then arrays of FAN or so of the level before, down to one a group.
+
+    A level of n arrays a group is made from slots modulo n. Every key stays, whatever its count.
+    """
 
     def work(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         kind = np.uint32 if key[0] == RUNS else np.uint64
         keys, n = _count([(_unpack(k, kind), _unpack(c, np.int64)) for k, c in zip(own["keys"], own["counts"], strict=True)])
-        keys, n = keys[n > 0], n[n > 0]
         return pd.DataFrame({"kind": [key[0]], "grp": [key[1]], "slot": [key[2]], "keys": [_pack(keys)], "counts": [_pack(n)]})
 
-    left = splits
-    while True:
-        left = -(-left // FAN)
-        parts = parts.withColumn("slot", F.pmod("slot", F.lit(left))).groupBy("kind", "grp", "slot").applyInPandas(work, "kind int, grp int, slot bigint, keys binary, counts binary")
-        if left == 1:
-            return written(parts.drop("slot"))
+    levels = [parts.withColumn("slot", F.pmod(F.xxhash64("split"), F.lit(1 << 30)))]
+    for left in sizes(splits):
+        below = levels[-1].select("kind", "grp", F.pmod("slot", F.lit(left)).alias("slot"), "keys", "counts")
+        levels.append(written(below.groupBy("kind", "grp", "slot").applyInPandas(work, SHAPE)))
+    return levels
+
+
+def sizes(splits: int) -> list[int]:
+    """How many arrays a group has on each level above the splits."""
+    out = [-(-splits // FAN)]
+    while out[-1] > 1:
+        out.append(-(-out[-1] // FAN))
+    return out
 
 
 class Nodes:
@@ -222,25 +240,34 @@ class Nodes:
         return total
 
 
+def _learned(keys: bytes, counts: bytes, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All keys, and keys and counts of those that training texts hold."""
+    every, n = _unpack(keys, kind), _unpack(counts, np.int64)
+    return every, every[n > 0], n[n > 0]
+
+
 def near_contexts(model: DataFrame) -> tuple[np.ndarray, ...]:
     """Own weights and estimates of one for contexts of one byte (256 x 256) and of none (256)."""
+    schema = "last int, node int, a bigint, b bigint, mixed bigint"
 
-    def second(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        a, b, mixed = np.zeros(256), np.zeros(256), np.zeros(256)
-        for keys, counts in zip(own["keys"], own["counts"], strict=True):
-            nodes = Nodes(_unpack(keys, np.uint32), _unpack(counts, np.int64))
-            key2, na, nb, _ = nodes.levels[-1]
-            at = key2.astype(np.int64) & 255
-            a[at] += na
-            b[at] += nb
-            mixed[at] += nodes.mixed
-        return pd.DataFrame({"last": [key[0]], "a": [a], "b": [b], "mixed": [mixed]})
-
-    # one context byte has at most 256 groups of two
-    rows = model.filter(f"kind = {RUNS}").groupBy(F.shiftright("grp", 8).alias("last")).applyInPandas(second, "last int, a array<double>, b array<double>, mixed array<double>").collect()
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for grp, keys, counts in zip(*(batch[c].to_pylist() for c in ("grp", "keys", "counts")), strict=True):
+                _, own, n = _learned(keys, counts, np.uint32)
+                if not len(own):
+                    continue
+                nodes = Nodes(own, n)
+                key, a, b, _ = nodes.levels[-1]
+                last = np.full(len(key), grp >> 8, dtype=np.int32)
+                # whole multiples of a small step add up to the same sum in any order
+                columns = (last, (key & U(255)).astype(np.int32), a.astype(np.int64), b.astype(np.int64), np.round(nodes.mixed * STEP).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["last", "node", "a", "b", "mixed"])
+
+    sums = model.filter(f"kind = {RUNS}").select("grp", "keys", "counts").mapInArrow(second, schema).groupBy("last", "node").agg(*(F.sum(c).alias(c) for c in ("a", "b", "mixed")))
     a, b, below = (np.zeros((256, 256)) for _ in range(3))
-    for r in rows:
-        a[r["last"]], b[r["last"]], below[r["last"]] = r["a"], r["b"], r["mixed"]
+    # at most 256 * 256 rows
+    for r in sums.collect():
+        a[r["last"], r["node"]], b[r["last"], r["node"]], below[r["last"], r["node"]] = r["a"], r["b"], r["mixed"] / STEP
     own = log_kt(a, b)
     w1 = np.exp(own - np.logaddexp(own, below))
     mixed = np.logaddexp(own, below) - np.log(2)
@@ -249,31 +276,44 @@ def near_contexts(model: DataFrame) -> tuple[np.ndarray, ...]:
     return w1, (b + 0.5) / (a + b + 1), np.exp(own0 - np.logaddexp(own0, below0)), (b0 + 0.5) / (a0 + b0 + 1)
 
 
-def answered(parts: DataFrame, model: DataFrame, near: tuple[np.ndarray, ...], splits: int) -> DataFrame:
-    """split, kind, grp, keys, answers: for each split's keys the log10 probability (runs) or training count (tokens)."""
-    salts = -(-splits // FAN)
-    asked = parts.select("split", "kind", "grp", "keys", F.pmod(F.xxhash64("split"), F.lit(salts)).alias("salt"))
-    known = model.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+def values(model: DataFrame, near: tuple[np.ndarray, ...]) -> DataFrame:
+    """kind, grp, slot, keys, answers: for each group's keys the log10 probability (runs) or training count (tokens)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (kind, grp, keys, counts) in enumerate(zip(*(batch[c].to_pylist() for c in ("kind", "grp", "keys", "counts")), strict=True)):
+                if kind == RUNS:
+                    every, own, n = _learned(keys, counts, np.uint32)
+                    found = np.concatenate([np.zeros(0), *(nodes.predict(every[at : at + ONCE], near, grp >> 8) for nodes in (Nodes(own, n),) for at in range(0, len(every), ONCE))]).astype(np.float32)
+                else:
+                    found = _unpack(counts, np.int64).astype(np.float64)
+                own = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([own["kind"], own["grp"], own["slot"], own["keys"], pa.array([_pack(found)], pa.binary())], names=["kind", "grp", "slot", "keys", "answers"])
+
+    # small in bytes but not in work: more tasks than the table has files
+    tasks = 4 * model.sparkSession.sparkContext.defaultParallelism
+    return model.repartition(tasks, "kind", "grp").mapInArrow(work, "kind int, grp int, slot bigint, keys binary, answers binary")
+
+
+def answered(levels: list[DataFrame], near: tuple[np.ndarray, ...], splits: int) -> DataFrame:
+    """split, kind, grp, keys, answers of every split, handed down level by level."""
 
     def work(key: tuple, ask: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        kind = np.uint32 if key[0] == RUNS else np.uint64
-        arrays = [_unpack(k, kind) for k in ask["keys"]]
-        if not arrays:
-            return pd.DataFrame({"split": [], "kind": [], "grp": [], "keys": [], "answers": []})
-        every = np.unique(np.concatenate(arrays))
-        keys, counts = (_unpack(own["keys"].iloc[0], kind), _unpack(own["counts"].iloc[0], np.int64)) if len(own) else (np.zeros(0, dtype=kind), np.zeros(0, dtype=np.int64))
-        if key[0] == RUNS:
-            values = Nodes(keys, counts).predict(every, near, int(key[1]) >> 8)
-        else:
-            at = np.minimum(np.searchsorted(keys, every), max(len(keys) - 1, 0))
-            values = np.where(keys[at] == every, counts[at], 0).astype(np.float64) if len(keys) else np.zeros(len(every))
-        return pd.DataFrame({"split": ask["split"], "kind": key[0], "grp": key[1], "keys": ask["keys"], "answers": [_pack(values[np.searchsorted(every, x)].astype(np.float32 if key[0] == RUNS else np.float64)) for x in arrays]})
-
-    on = ["kind", "grp", "salt"]
-    return asked.groupBy(*on).cogroup(known.groupBy(*on)).applyInPandas(work, "split bigint, kind int, grp int, keys binary, answers binary")
-
-
-def scored(docs: DataFrame, answers: DataFrame, id_type: T.DataType, train_tokens: int, floor: float) -> DataFrame:
+        if not len(ask):
+            return pd.DataFrame({"id": [], "kind": [], "grp": [], "keys": [], "answers": []})
+        kind, numbers = (np.uint32, np.float32) if key[0] == RUNS else (np.uint64, np.float64)
+        known, found = _unpack(own["keys"].iloc[0], kind), _unpack(own["answers"].iloc[0], numbers)
+        return pd.DataFrame({"id": ask["id"], "kind": key[0], "grp": key[1], "keys": ask["keys"], "answers": [_pack(found[np.searchsorted(known, _unpack(k, kind))]) for k in ask["keys"]]})
+
+    above, on = values(levels[-1], near), ["kind", "grp", "slot"]
+    for left, below in zip(reversed(sizes(splits)), reversed(levels[:-1]), strict=True):
+        own = F.col("split") if "split" in below.columns else F.col("slot")
+        asked = below.select(own.alias("id"), "kind", "grp", "keys", F.pmod("slot", F.lit(left)).alias("slot"))
+        above = asked.groupBy(*on).cogroup(above.groupBy(*on)).applyInPandas(work, "id bigint, kind int, grp int, keys binary, answers binary").withColumnRenamed("id", "slot")
+    return above.withColumnRenamed("slot", "split")
+
+
+def scored(docs: DataFrame, answers: DataFrame, id_type: T.DataType, splits: int, floor: float) -> DataFrame:
     """Each split's answers, then its texts as a stream: n_tokens, n_known, base_score and score of every text."""
     none = F.lit(None)
     left = answers.select("split", F.lit(0).alias("part"), "kind", "grp", "keys", "answers", none.cast(id_type).alias("doc_id"), none.cast("boolean").alias("train"), none.cast("string").alias("text"))
@@ -289,10 +329,13 @@ def scored(docs: DataFrame, answers: DataFrame, id_type: T.DataType, train_token
     def ready(held: list) -> tuple[tuple, tuple]:
         out = []
         for kind in (RUNS, TOKENS):
+            # a split that two scan tasks shared has two arrays a group
             some = sorted((g, k, v) for d, g, k, v in held if d == kind)
             keys = [_unpack(k, np.uint32).astype(np.uint64) | U(g << 32) if kind == RUNS else _unpack(k, np.uint64) for g, k, _ in some]
             values = [_unpack(v, np.float32 if kind == RUNS else np.float64) for _, _, v in some]
-            out.append((np.concatenate(keys), np.concatenate(values)))
+            keys, values = np.concatenate(keys), np.concatenate(values)
+            order = np.argsort(keys, kind="stable")
+            out.append((keys[order], values[order]))
         return tuple(out)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,32 +369,48 @@ def scored(docs: DataFrame, answers: DataFrame, id_type: T.DataType, train_token
                     seen = np.bincount(doc, c > 0, minlength=hi - lo).astype(np.int64) + int(end > 0)
                     yield pa.RecordBatch.from_arrays([own["doc_id"].slice(lo, hi - lo), own["train"].slice(lo, hi - lo), pa.array(words.count.astype(np.int64) + 1), pa.array(seen), pa.array(base), pa.array(score)], names=schema.names)
 
-    return left.unionByName(right).repartition(F.col("split")).sortWithinPartitions("split", "part").mapInArrow(work, schema)
+    # twice as many partitions as splits, so that few share one
+    return left.unionByName(right).repartition(min(2 * splits, TASKS), "split").sortWithinPartitions("split", "part").mapInArrow(work, schema)
+
+
+def in_splits(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, train, text and split: a number for a fixed range of rows of a file, of about SPLIT bytes of text.
+
+    The range depends on the file alone, not on how it is read, so it stays when executors come and go. A table that does not
+    come from Parquet files is written first.
+    """
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("bytes")).first()
+    rows = max(16, min(1 << 16, 1 << (max(SPLIT * size["n"] // max(size["bytes"] or 0, 1), 1).bit_length() - 1)))
+    held_out = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == 2, F.lit(False))
+    own = [F.col(id_col).alias("doc_id"), (~held_out).alias("train"), F.col(text_col).cast("string").alias("text")]
+    of_file = F.xxhash64(F.col("_metadata.file_path"), F.expr(f"_metadata.row_index div {rows}")).alias("split")
+    try:
+        return docs.select(*own, of_file)
+    except AnalysisException:
+        return written(docs.select(id_col, text_col)).select(*own, of_file)
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, train, n_tokens, n_known, train_tokens, base_score, score (log10).
 
-    Documents whose crc32(id as text) mod 7 is not 2 train the model; a null id trains too. docs must be read from files: each row's
-    split is its file and block. Null and empty texts consist of their end. Without training texts every byte has
-    probability 1/256. Repeated rows count as often as they occur.
+    Documents whose crc32(id as text) mod 7 is not 2 train the model; a null id trains too. Null and empty texts consist of
+    their end. Without training texts every byte has probability 1/256. Repeated rows count as often as they occur.
     """
-    held_out = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == 2, F.lit(False))
-    base = docs.select(F.col(id_col).alias("doc_id"), (~held_out).alias("train"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("split"))
+    base = in_splits(docs, id_col, text_col)
     parts = written(packed_counts(base))
     splits = max(1, parts.select("split").distinct().count())
-    model = merged(parts, splits)
-    total = model.filter(f"kind = {TOKENS}")
+    levels = merged(parts, splits)
+    total = levels[-1].filter(f"kind = {TOKENS}")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = [_unpack(c, np.int64) for c in batch["counts"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([int(c.sum()) for c in counts], pa.int64()), pa.array([len(c) for c in counts], pa.int64())], names=["n", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(c.sum()) for c in counts], pa.int64()), pa.array([int((c > 0).sum()) for c in counts], pa.int64())], names=["n", "v"])
 
     size = total.select("counts").mapInArrow(sums, "n bigint, v bigint").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = size["n"] or 0, size["v"] or 0
-    answers = answered(parts, model, near_contexts(model), splits)
-    out = scored(base, answers, docs.schema[id_col].dataType, n, float(np.log10(n + v + 1)))
+    answers = answered(levels, near_contexts(levels[-1]), splits)
+    out = scored(base, answers, docs.schema[id_col].dataType, splits, float(np.log10(n + v + 1)))
     return out.withColumn("train_tokens", F.lit(n).cast("bigint"))
 
 

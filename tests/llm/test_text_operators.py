@@ -254,10 +254,14 @@ class PlainTree:
         return total
 
 
-def test_ctw_against_definition(spark, tmp_path):
+@pytest.mark.parametrize(("fan", "stored"), [(64, True), (2, True), (64, False)])
+def test_ctw_against_definition(spark, tmp_path, monkeypatch, fan, stored):
+    monkeypatch.setattr(ctw, "FAN", fan)
     docs = odd_documents(spark).filter("doc_id NOT IN (7, 8)").unionByName(odd_documents(spark).filter("doc_id = 1").selectExpr("cast(null as long) doc_id", "'the cat sat on the mat' text", *[c for c in odd_documents(spark).columns if c not in ("doc_id", "text")]))
-    docs.repartition(3).write.parquet(str(tmp_path / "d"))
-    docs = spark.read.parquet(str(tmp_path / "d"))
+    if stored:
+        docs.repartition(3).write.parquet(str(tmp_path / "d"))
+        docs = spark.read.parquet(str(tmp_path / "d"))
+    assert ctw.sizes(3) == ([2, 1] if fan == 2 else [1])
     rows = docs.collect()
     train = [r["text"] or "" for r in rows if r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2]
     tree, tokens = PlainTree(train), Counter()
@@ -285,7 +289,7 @@ def test_ctw_probabilities_add_up():
 
 def test_ctw_empty(spark, tmp_path):
     no_documents(spark).write.parquet(str(tmp_path / "e"))
-    assert ctw.score_texts(spark.read.parquet(str(tmp_path / "e"))).count() == 0
+    assert ctw.score_texts(spark.read.parquet(str(tmp_path / "e"))).count() == 0 and ctw.score_texts(no_documents(spark)).count() == 0
 
 
 def test_toxicity_learns_and_holds_out(spark):
