@@ -116,10 +116,10 @@ def prefix_overlap(a: Column, b: Column) -> Column:
 
 
 def path_root(path: Column, depth: int = 5) -> Column:
-    """The first directories of a path, `depth` at most; a dot for top-level files."""
+    """The first directories of a path, `depth` at most; empty for top-level files."""
     dirs = F.split(path, "/")
     n = F.least(F.size(dirs) - 1, F.lit(depth))
-    return F.when(n > 0, F.array_join(F.slice(dirs, F.lit(1), F.greatest(n, F.lit(1))), "/")).otherwise(".")
+    return F.when(n > 0, F.array_join(F.slice(dirs, F.lit(1), F.greatest(n, F.lit(1))), "/")).otherwise("")
 
 
 def qualified_name(text: Column) -> Column:

@@ -11,6 +11,12 @@ from sparkloom.functions import text as X
 
 RANK = {"EXTRACTED": 3, "INFERRED": 2, "AMBIGUOUS": 1}
 STRUCTURAL = ("contains", "declares_namespace", "depends_on", "imports")
+# Fixed word list: path tokens that name no feature.
+FEATURE_STOPWORDS = (
+    "asset assets activity base btn build button client code com common component components container core csharp csharpframework custom data fix framework game gameview "
+    "gen generate generated group handler helper hot hotfix icon info item items list logic lua lua2csharp lua2csharpcode main manager module modules node page pages panel "
+    "popup runtime script scripts simple ui util utils view views"
+).split()
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -253,15 +259,82 @@ def affinity_edges(tokens: DataFrame, low: int = 2, high: int = 512) -> DataFram
 
 
 def project_to_files(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """src, dst files and weight of edges between nodes of different files."""
+    """src, dst files and weight of edges between nodes of different files; each relation has its factor and least weight."""
     f = nodes.filter("file_path IS NOT NULL").select("id", "file_path")
     a, b = f.select(F.col("id").alias("source"), F.col("file_path").alias("src")), f.select(F.col("id").alias("target"), F.col("file_path").alias("dst"))
-    weight = F.when(F.col("relation") == "module_reference", 3.0).when(F.col("relation") == "references", 2.0).when(F.col("relation").isin("module_affinity", "depends_on"), 1.0)
-    out = edges.withColumn("w", weight * F.col("weight")).filter("w IS NOT NULL").join(a, "source").join(b, "target").filter("src <> dst")
+    relation, w = F.col("relation"), F.col("weight")
+    weight = (
+        F.when(relation.isin("references_file", "module_reference"), F.greatest(w, F.lit(1.0)) * 3).when(relation == "feature_affinity", F.greatest(w, F.lit(0.1)))
+        .when(relation == "references", F.greatest(w, F.lit(0.1)) * 2).when(relation == "depends_on", F.greatest(w, F.lit(1.0)))
+    )
+    out = edges.withColumn("w", weight).filter("w IS NOT NULL").join(a, "source").join(b, "target").filter("src <> dst")
     return out.groupBy("src", "dst").agg(F.sum("w").alias("weight"))
 
 
+def is_feature_token(token: Column) -> Column:
+    """Three bytes or more, a letter among them, no keyword and no common path word."""
+    return (F.octet_length(token) >= 3) & token.rlike("[A-Za-z]") & ~token.isin(*X.CODE_STOPWORDS) & ~token.isin(*FEATURE_STOPWORDS)
+
+
+def _feature_parts(path: Column) -> Column:
+    """array of (place, part, tokens) of a path's pieces; of several tokens the whole piece is none."""
+    pieces = F.filter(F.split(path, "[^A-Za-z0-9_]+"), lambda p: p != "")
+    tokens = lambda p: F.when(F.size(X.split_identifier(p)) > 1, F.slice(X.split_identifier(p), F.lit(2), F.size(X.split_identifier(p)))).otherwise(X.split_identifier(p))
+    return F.transform(pieces, lambda p, k: F.struct(k.alias("place"), F.lower(p).alias("part"), F.filter(tokens(p), is_feature_token).alias("tokens")))
+
+
 def path_tokens(files: DataFrame) -> DataFrame:
-    """path and token of the distinct parts, of three bytes or more, of a path's pieces."""
-    parts = F.flatten(F.transform(F.split("path", "/"), lambda p: F.filter(X.tokenize(p), lambda t: F.octet_length(t) >= 3)))
-    return files.select("path", F.explode(F.array_distinct(parts)).alias("token"))
+    """path and token of the distinct feature tokens of a path's pieces."""
+    return files.select("path", F.explode(F.array_distinct(F.flatten(F.transform(_feature_parts(F.col("path")), lambda x: x["tokens"])))).alias("token"))
+
+
+def feature_keys(groups: DataFrame) -> DataFrame:
+    """community and token: the feature of each community's files (community, path): tokens gain 1, their piece's place, and 12 where they are the piece, 8 where within it."""
+    parts = groups.select("community", F.explode(_feature_parts(F.col("path"))).alias("x"))
+    each = parts.select("community", "x.place", "x.part", F.explode("x.tokens").alias("token"))
+    score = 1 + F.col("place") + F.when(F.col("part") == F.col("token"), 12).when(F.col("part").contains(F.col("token")), 8).otherwise(0)
+    sums = each.groupBy("community", "token").agg(F.sum(score).alias("score"))
+    place = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("score"), "token"))
+    return sums.withColumn("place", place).filter("place = 1").select("community", "token")
+
+
+def considered(name: Column, own: Column) -> Column:
+    """Whether a body's identifier may refer to another symbol: longer than two bytes, with a letter, no keyword, not the symbol's own name."""
+    return (name != own) & (F.octet_length(name) > 2) & name.rlike("[A-Za-z]") & ~name.isin(*X.CODE_STOPWORDS)
+
+
+def distinct_labels(labelled: DataFrame, communities: DataFrame, nodes: DataFrame) -> DataFrame:
+    """labelled (community, label, ...) with labels of one community each where files allow: of those that repeat, each gains its main file's rest after the label."""
+    n = labelled.groupBy("label").agg(F.count("*").alias("dl_n"))
+    files = communities.join(nodes.filter("file_path IS NOT NULL"), "id").groupBy("community", "file_path").agg(F.count("*").alias("c"))
+    main = files.groupBy("community").agg(F.min_by("file_path", F.struct(-F.col("c"), "file_path")).alias("dl_file"))
+    parts, own = F.split("dl_file", "/"), F.split("label", "/")
+    same = F.array_position(F.concat(F.zip_with(F.slice(parts, F.lit(1), F.size(own)), own, lambda a, b: ~F.coalesce(a == b, F.lit(False))), F.array(F.lit(True))), True)
+    rest = F.when(same <= F.size(parts), F.array_join(F.slice(parts, same.cast("int"), F.size(parts)), "/")).otherwise(F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), "/"))
+    out = labelled.join(n, "label").join(main, "community", "left")
+    return out.withColumn("label", F.when((F.col("dl_n") > 1) & F.col("dl_file").isNotNull(), F.concat_ws(" :: ", "label", rest)).otherwise(F.col("label"))).drop("dl_n", "dl_file")
+
+
+def community_overview(communities: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 40) -> DataFrame:
+    """community, label, members, files, cohesion and rank of the largest communities."""
+    sizes = communities.join(nodes.select("id", "file_path"), "id").groupBy("community").agg(F.count("*").alias("members"), F.countDistinct("file_path").alias("files"))
+    named = distinct_labels(labels(communities, nodes).drop("n"), communities, nodes)
+    out = sizes.join(named, "community").join(cohesion(communities, edges).select("community", "cohesion"), "community")
+    # a row a community, of which only the largest stay
+    top = out.orderBy(F.desc("members"), "community").limit(limit)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("members"), "community")).cast("bigint"))
+
+
+def community_members(communities: DataFrame, nodes: DataFrame, edges: DataFrame, community: str, limit: int = 50) -> DataFrame:
+    """id, label, type and degree of one community's members, the best linked ones first."""
+    own = communities.filter(F.col("community") == community).select("id")
+    held = nodes.join(own, "id", "left_semi")
+    ends = edges.select(F.explode(F.array("source", "target")).alias("id")).join(own, "id", "left_semi").groupBy("id").agg(F.count("*").alias("degree"))
+    return held.join(ends, "id", "left").fillna({"degree": 0}).orderBy(F.desc("degree"), "id").limit(limit).select("id", "label", "type", "degree")
+
+
+def summary(label: Column, kind: Column, incoming: Column, outgoing: Column) -> Column:
+    """A sentence about a node's place in the graph."""
+    degree = incoming + outgoing
+    tie = F.when(degree == 0, "isolated").when(degree == 1, "minimally connected").when(degree < 5, "lightly connected").when(degree < 20, "moderately connected").otherwise("highly connected")
+    return F.format_string("`%s` is a %s node that is %s (%d total edges: %d incoming, %d outgoing).", label, kind, tie, degree.cast("bigint"), incoming.cast("bigint"), outgoing.cast("bigint"))

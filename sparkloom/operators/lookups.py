@@ -46,6 +46,11 @@ def find(files: DataFrame, query: str, limit: int | None = None, digits: int = 6
     return scored.orderBy(F.desc("score"), "path").limit(clamp(limit, 10, 1, 50))
 
 
+def suggestions(files: DataFrame, query: str, limit: int = 5) -> DataFrame:
+    """Paths that a path which is not there may mean, best first."""
+    return find(files, query, limit)
+
+
 def hot(files: DataFrame, limit: int | None = None) -> DataFrame:
     return files.select("path", "modified_ms").orderBy(F.desc("modified_ms"), "path").limit(clamp(limit, 10, 1, 1000))
 

@@ -3,15 +3,24 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
 from sparkloom.operators.graph import components
 
-# Fixed word lists of the scores.
-NOUNS = ("manager", "service", "controller", "system", "handler", "factory", "provider", "repository", "client", "server", "engine", "processor")
-LIFECYCLE = ("main", "start", "awake", "update", "init", "initialize", "run", "execute", "setup", "configure", "onenable", "ondisable")
+# Fixed word lists and values of the scores.
+NOUNS = ("manager", "controller", "service", "listener", "handler", "router", "view", "panel", "system", "facade", "module", "model", "repository", "processor", "factory")
+LIFECYCLE = ("awake", "start", "init", "initialize", "run", "execute", "process", "update")
+FOLDERS = ("controller", "controllers", "manager", "managers", "service", "services", "view", "views")
+BUSINESS_KINDS = ("class", "interface", "struct", "record", "method", "function", "constructor")
+KIND_SCORES = {"class": 8, "interface": 8, "struct": 8, "enum": 8, "record": 8, "method": 4, "constructor": 4, "function": 4, "property": 2, "field": 2}
+TERM_STOPWORDS = (
+    "asset assets base build cache client code common component components config core data default editor factory file framework game generated global helper helpers "
+    "hot hotfix impl index item items lib library list logic main manager model module modules object package packages plugin runtime script scripts service simple "
+    "system test tests type types util utils view views"
+).split()
+TYPE_KINDS = ("class", "interface", "struct", "enum", "record")
 
 
 def capped_edges(deps: DataFrame, hub: int = 220, per_file: int = 72) -> DataFrame:
@@ -60,22 +69,37 @@ def discover(files: DataFrame, deps: DataFrame, hub: int = 220, per_file: int =
     return cut.select("path", F.when(F.col("size") > largest, F.concat_ws("#", "module", "root", "slice")).otherwise(F.col("module")).alias("module"))
 
 
+def is_term(token: Column) -> Column:
+    """Three bytes or more, a letter among them, no common word."""
+    return (F.octet_length(token) >= 3) & token.rlike("[A-Za-z]") & ~token.isin(*TERM_STOPWORDS)
+
+
 def term_counts(files: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
-    """path, term, count: path tokens once, type symbols four and other symbols two times; three bytes or more, no keywords."""
-    path = files.select("path", F.explode(X.tokenize(F.col("path"))).alias("term"), F.lit(1).alias("w"))
-    out = path
+    """path, term, count: path pieces and imports count once, namespaces twice, type symbols four times and other symbols twice.
+
+    files holds path and, if they are known, namespace and imports.
+    """
+
+    def terms(frame: DataFrame, words: Column, weight: Column) -> DataFrame:
+        parts = F.flatten(F.transform(F.filter(words, lambda w: w != ""), X.split_identifier))
+        return frame.select("path", F.explode(parts).alias("term"), weight.alias("w"))
+
+    out = terms(files, F.split("path", r"[/. +_-]"), F.lit(1))
+    if "namespace" in files.columns:
+        out = out.unionByName(terms(files, F.split("namespace", r"\."), F.lit(2)))
+    if "imports" in files.columns:
+        out = out.unionByName(terms(files, F.flatten(F.transform("imports", lambda i: F.split(i, r"[/.: +_-]"))), F.lit(1)))
     if symbols is not None:
-        weight = F.when(F.col("kind").isin("class", "interface", "struct", "enum", "record", "symbol"), 4).otherwise(2)
-        out = path.unionByName(symbols.select("path", F.explode(X.tokenize(F.col("name"))).alias("term"), weight.alias("w")))
-    return out.filter((F.octet_length("term") >= 3) & ~F.col("term").isin(*X.CODE_STOPWORDS)).groupBy("path", "term").agg(F.sum("w").alias("count"))
+        out = out.unionByName(terms(symbols, F.array("name"), F.when(F.col("kind").isin(*TYPE_KINDS), 4).otherwise(2)))
+    return out.filter(is_term(F.col("term"))).groupBy("path", "term").agg(F.sum("w").alias("count"))
 
 
 def ranked_terms(counts: DataFrame, members: DataFrame, top: int = 12) -> DataFrame:
-    """module, term, score, rank: count * ln(1 + modules / modules with the term)."""
+    """module, term, score, rank: count * ln(1 + modules / modules with the term), in hundredths; ties by count, then term."""
     held = counts.join(members, "path").groupBy("module", "term").agg(F.sum("count").alias("count"))
     total = members.agg(F.countDistinct("module").alias("modules"))
     df = held.groupBy("term").agg(F.count("*").alias("df"))
-    scored = held.join(df, "term").crossJoin(F.broadcast(total)).withColumn("score", F.round(F.col("count") * F.log1p(F.col("modules") / F.col("df")), 6))
+    scored = held.join(df, "term").crossJoin(F.broadcast(total)).withColumn("score", F.round(F.col("count") * F.log1p(F.col("modules") / F.col("df")), 2))
     order = Window.partitionBy("module").orderBy(F.desc("score"), F.desc("count"), "term")
     return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= top).select("module", "term", "score", "rank")
 
@@ -111,25 +135,46 @@ def central_files(members: DataFrame, deps: DataFrame, symbols: DataFrame, top:
     return out.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= top).select("module", "path", "score", "rank")
 
 
+def business_bonus(name: Column) -> Column:
+    """Three for each business noun in the name."""
+    low = F.lower(name)
+    return sum((F.when(low.contains(noun), 3).otherwise(0) for noun in NOUNS), F.lit(0))
+
+
 def entry_points(symbols: DataFrame, members: DataFrame, top: int = 5) -> DataFrame:
-    """module, name, path, score, rank of symbols that look like entries: lifecycle names, handlers, business nouns, kinds."""
+    """module, name, path, score, rank of symbols that look like entries: business nouns, lifecycle names, handlers, folders. Others have no place."""
     low = F.lower("name")
-    score = F.when(low.isin(*LIFECYCLE), 4).otherwise(0) + F.when(low.startswith("on") | low.startswith("handle"), 3).otherwise(0) + F.when(F.lower("path").rlike("(^|/)(controllers?|services?|api|handlers?)/"), 2).otherwise(0)
-    for noun in NOUNS:
-        score = score + F.when(low.contains(noun), 3).otherwise(0)
-    score = score + F.when(F.col("kind").isin("class", "interface"), 8).when(F.col("kind").isin("struct", "enum"), 4).when(F.col("kind").isin("method", "function"), 2).otherwise(1)
-    out = symbols.join(members, "path").withColumn("score", score.cast("bigint"))
-    order = Window.partitionBy("module").orderBy(F.desc("score"), "name", "path", "line_start")
+    score = F.when(F.col("kind").isin(*BUSINESS_KINDS), business_bonus(F.col("name"))).otherwise(0)
+    score = score + F.when(low.isin(*LIFECYCLE), 4).otherwise(0) + F.when(low.startswith("on") | low.startswith("handle"), 3).otherwise(0)
+    score = score + F.when(F.lower("path").rlike(f"/(?:{'|'.join(FOLDERS)})/"), 2).otherwise(0)
+    out = symbols.join(members, "path").withColumn("score", score.cast("bigint")).filter("score > 0")
+    order = Window.partitionBy("module").orderBy(F.desc("score"), "path", "line_start", "name")
     return out.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= top).select("module", "name", "path", "score", "rank")
 
 
-def confidence(counted: DataFrame, entries: DataFrame, density: DataFrame | None = None) -> DataFrame:
-    """module and confidence from cohesion, semantic density, size and entry points, 0 to 1."""
+def key_symbols(symbols: DataFrame, members: DataFrame, top: int = 5) -> DataFrame:
+    """module, name, kind, path, line_start, score, rank of the most important symbols: by kind and business nouns."""
+    kind = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in KIND_SCORES.items() for x in pair)), "kind"), F.lit(1))
+    out = symbols.join(members, "path").withColumn("score", (kind + business_bonus(F.col("name"))).cast("bigint"))
+    order = Window.partitionBy("module").orderBy(F.desc("score"), "name", "path", "line_start")
+    ranked = out.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= top)
+    return ranked.select("module", "name", "kind", "path", "line_start", "score", "rank")
+
+
+def languages(files: DataFrame, members: DataFrame) -> DataFrame:
+    """module, language, files: how many files of each language a module has."""
+    return members.select("path", "module").join(files.select("path", "language"), "path").groupBy("module", "language").agg(F.count("*").alias("files"))
+
+
+def confidence(counted: DataFrame, entries: DataFrame, members: DataFrame, density: DataFrame | None = None) -> DataFrame:
+    """module and confidence from cohesion, semantic density, size, entry points and whether it spans folders, 0 to 1 in hundredths."""
     e = entries.groupBy("module").agg(F.count("*").alias("entries"))
     out = counted.join(e, "module", "left").fillna({"entries": 0})
     out = out.join(density, "module", "left").fillna({"density": 0.0}) if density is not None else out.withColumn("density", F.lit(0.0))
-    score = 0.35 * F.col("cohesion") + 0.25 * F.col("density") + F.least(F.log1p("files") / 5, F.lit(0.35)) + F.least(0.03 * F.col("entries"), F.lit(0.15)) + F.when(F.col("outgoing") + F.col("incoming") > 0, 0.05).otherwise(0.0)
-    return out.select("module", "files", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6).alias("confidence"))
+    roots = members.groupBy("module").agg((F.countDistinct(X.path_root(F.col("path"))) > 1).alias("cross"))
+    out = out.join(roots, "module", "left")
+    score = 0.35 * F.col("cohesion") + 0.25 * F.col("density") + F.least(F.log1p("files") / 5, F.lit(0.35)) + F.least(0.03 * F.col("entries"), F.lit(0.15)) + F.when(F.col("cross"), 0.05).otherwise(0.0)
+    return out.select("module", "files", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2).alias("confidence"))
 
 
 def path_roots(members: DataFrame, top: int = 3) -> DataFrame:
@@ -146,7 +191,7 @@ def module_map(files: DataFrame, deps: DataFrame, symbols: DataFrame, limit: int
     big = members.join(members.groupBy("module").agg(F.count("*").alias("n")).filter(F.col("n") >= min_files).select("module"), "module", "left_semi").select("path", "module")
     counted = edge_counts(big, deps)
     entries = entry_points(symbols, big)
-    scored = confidence(counted, entries).join(counted.select("module", "cohesion"), "module").join(labels(ranked_terms(term_counts(own, symbols), big)), "module", "left")
+    scored = confidence(counted, entries, big).join(counted.select("module", "cohesion"), "module").join(labels(ranked_terms(term_counts(own, symbols), big)), "module", "left")
     order = Window.orderBy(F.desc("confidence"), F.desc("files"), "module")
     # the k best of a row a module
     return scored.orderBy(F.desc("confidence"), F.desc("files"), "module").limit(limit).withColumn("rank", F.row_number().over(order).cast("bigint"))

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
-from sparkloom.operators import callers, chunks, communities, export, index, layout, lookups, modules, search
+from sparkloom.operators import callers, chunks, communities, deps, export, index, layout, lookups, modules, search
 from sparkloom.operators import graph as G
-from sparkloom.plans import pipeline
+from sparkloom.operators.parse import parse_files
+from sparkloom.plans import pipeline, samples
 from sparkloom.sources import views as V
 from sparkloom.streaming import changes
 
@@ -76,9 +77,7 @@ def sql_top(frame: str, key: str, k: int, id_col: str = "doc_id") -> str:
 
 
 ONE = "SELECT 0::BIGINT AS query_id, unnest(['the', 'password', 'the', 'license']) AS term"
-BATCH = f"SELECT item_id AS query_id, lower(unnest(regexp_extract_all(text, {IDENT})[1:8])) AS term FROM benchmark"
-
-BATCH_WHOLE = f"SELECT item_id AS query_id, lower(unnest(regexp_extract_all(text, {IDENT}))) AS term FROM benchmark"
+BATCH = f"SELECT item_id AS query_id, lower(unnest(regexp_extract_all(text, {IDENT}))) AS term FROM benchmark"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -138,9 +137,9 @@ def corpus_ls(s, d):
     return lookups.ls(V.files(s, d), "src1")
 
 
-@query(f"WITH {FILES} SELECT path FROM files WHERE regexp_matches(path, '^src[12]/(?:.*/)?d[^/]*5\\.txt$') ORDER BY path LIMIT 200")
+@query(f"WITH {FILES} SELECT path FROM files WHERE regexp_matches(path, '^src[12]/(?:.*/)?d[^/]*1\\.txt$') ORDER BY path LIMIT 200")
 def corpus_glob(s, d):
-    return lookups.glob(V.files(s, d), "src[12]/**/d*5.txt")
+    return lookups.glob(V.files(s, d), "src[12]/**/d*1.txt")
 
 
 @query(f"WITH {FILES} SELECT path, (doc_id * 7919) % 10007 AS modified_ms FROM files ORDER BY 2 DESC, 1 LIMIT 10")
@@ -193,9 +192,9 @@ def grep_regex(s, d):
     return lookups.grep(_lines(s, d), "licen[cs]ed? +under", regex=True)
 
 
-@query(f"WITH {LINES} SELECT path, line, text FROM lines WHERE contains(lower(text), 'password=') AND path LIKE 'src%/%' AND NOT regexp_matches(text, '^\\s*$|^\\s*(//|--|/\\*|\\*)')")
+@query(f"WITH {LINES} SELECT path, line, text FROM lines WHERE contains(lower(text), 'license') AND path LIKE 'src%/%' AND NOT regexp_matches(text, '^\\s*$|^\\s*(//|--|/\\*|\\*)')")
 def grep_substring_compact(s, d):
-    return lookups.grep(_lines(s, d), "password=", pattern="src*/**", skip_comments=True)
+    return lookups.grep(_lines(s, d), "license", pattern="src*/**", skip_comments=True)
 
 
 @query(f"WITH {LINES}, h AS (SELECT path, line, text, row_number() OVER (PARTITION BY path ORDER BY line) AS place, count(*) OVER (PARTITION BY path) AS hits FROM lines WHERE contains(lower(text), 'ing ')) SELECT path, line, text, hits FROM h WHERE place <= 5")
@@ -206,7 +205,7 @@ def grep_per_file_cap(s, d):
 @query(f"WITH {LINES} SELECT line, text FROM lines WHERE path = (SELECT path FROM files WHERE doc_id = 11) AND line BETWEEN 2 AND 5")
 def read_lines(s, d):
     f = V.files(s, d).filter("doc_id = 11")
-    return lookups.read_lines(V.lines(f), "src11/en/d11.txt", 2, 5) if not f.filter("path <> 'src11/en/d11.txt'").take(1) else V.lines(f).filter("line BETWEEN 2 AND 5").select("line", "text")
+    return lookups.read_lines(V.lines(f), f.select("path").first()["path"], 2, 5)
 
 
 # Symbols, ranges and chunks
@@ -261,11 +260,6 @@ def _one(s):
 
 
 def _batch(s, d):
-    items = V.table(s, d, "benchmark")
-    return items.select(F.col("item_id").alias("query_id"), F.explode(F.slice(X.identifiers(F.col("text")), 1, 8)).alias("term")).withColumn("term", F.lower("term"))
-
-
-def _batch_whole(s, d):
     return V.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(X.identifiers(F.col("text"))).alias("term")).withColumn("term", F.lower("term"))
 
 
@@ -292,13 +286,6 @@ def bm25_batch(s, d):
     return index.top_per_query(index.bm25(posted, lengths, _batch(s, d), "doc_id"), "doc_id", 5)
 
 
-@query(f"WITH {sql_bm25(BATCH_WHOLE)} {sql_top('scored', 'query_id', 5)}")
-def bm25_batch_whole(s, d):
-    """bm25_batch with all identifiers of the benchmark's texts."""
-    _, posted, lengths = _posted(s, d)
-    return index.top_per_query(index.bm25(posted, lengths, _batch_whole(s, d), "doc_id"), "doc_id", 5)
-
-
 RRF = "rrf AS (SELECT query_id, doc_id, round(1.0 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)), 8) AS score FROM scored)"
 COSINE = """qv AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE {which}),
 nv AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, label FROM embeddings),
@@ -321,14 +308,6 @@ def rrf_rank(s, d):
     return ranks.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"))
 
 
-@query(f"WITH {sql_bm25(BATCH_WHOLE)}, {RRF} SELECT query_id, count(*) AS n, round(sum(score), 6) AS total FROM rrf GROUP BY 1")
-def rrf_rank_whole(s, d):
-    """rrf_rank with all identifiers of the benchmark's texts."""
-    _, posted, lengths = _posted(s, d)
-    ranks = search.reciprocal_ranks(index.bm25(posted, lengths, _batch_whole(s, d), "doc_id"), "doc_id")
-    return ranks.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"))
-
-
 FUSED = f"""{sql_bm25(ONE)}, {RRF}, {COSINE.format(which='vec_id = 7', key='doc_id')},
 sem AS (SELECT 0 AS query_id, doc_id, round(1.0 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)), 8) AS score FROM sims),
 fused AS (SELECT query_id, doc_id, round(0.5 * coalesce(rrf.score, 0) + 0.5 * coalesce(sem.score, 0), 8) AS score FROM rrf FULL JOIN sem USING (query_id, doc_id))"""
@@ -526,23 +505,11 @@ def _buys(s, d):
 
 
 @query(f"""{COMMUNITIES}, n AS (SELECT id, split_part(file_path, '/', 1) AS top, community, degree FROM nodes JOIN communities USING (id) JOIN degree USING (id)),
-t AS (SELECT 'supplier:' || (l_suppkey) AS source, 'customer:' || o_custkey AS target, count(*) AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 GROUP BY 1, 2),
+t AS (SELECT 'supplier:' || (l_suppkey) AS source, 'customer:' || o_custkey AS target, count(*) AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
 dg AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM t UNION ALL SELECT target FROM t) GROUP BY 1)
 SELECT source, target, 'buys' AS relation, (2 + CASE WHEN a.top <> b.top THEN 2 ELSE 0 END + CASE WHEN a.community <> b.community THEN 1 ELSE 0 END + CASE WHEN least(x.degree, y.degree) <= 2 AND greatest(x.degree, y.degree) >= 5 THEN 1 ELSE 0 END)::BIGINT AS score
 FROM t JOIN n a ON a.id = source JOIN n b ON b.id = target JOIN dg x ON x.id = source JOIN dg y ON y.id = target ORDER BY 4 DESC, 1, 2 LIMIT 10""")
 def graph_surprising(s, d):
-    buys = V.table(s, d, "lineitem").filter("l_linenumber = 1").join(V.table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    edges = buys.select(F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("target")).distinct().withColumn("relation", F.lit("buys")).withColumn("confidence", F.lit("INFERRED"))
-    return G.surprising(V.key_nodes(s, d), edges, _communities(s, d))
-
-
-@query(f"""{COMMUNITIES}, n AS (SELECT id, split_part(file_path, '/', 1) AS top, community FROM nodes JOIN communities USING (id)),
-t AS (SELECT DISTINCT 'supplier:' || l_suppkey AS source, 'customer:' || o_custkey AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-dg AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM t UNION ALL SELECT target FROM t) GROUP BY 1)
-SELECT source, target, 'buys' AS relation, (2 + CASE WHEN a.top <> b.top THEN 2 ELSE 0 END + CASE WHEN a.community <> b.community THEN 1 ELSE 0 END + CASE WHEN least(x.degree, y.degree) <= 2 AND greatest(x.degree, y.degree) >= 5 THEN 1 ELSE 0 END)::BIGINT AS score
-FROM t JOIN n a ON a.id = source JOIN n b ON b.id = target JOIN dg x ON x.id = source JOIN dg y ON y.id = target ORDER BY 4 DESC, 1, 2 LIMIT 10""")
-def graph_surprising_all(s, d):
-    """graph_surprising over all lines of all orders."""
     return G.surprising(V.key_nodes(s, d), _buys(s, d), _communities(s, d))
 
 
@@ -627,27 +594,17 @@ def export_json(s, d):
 # Modules
 
 
-MODULE_TERMS = f"""{MEMBERS}, sym AS (SELECT path, name FROM (WITH {SYMBOLS} SELECT path, name FROM symbols)), w AS (SELECT path, unnest({sql_parts('name')}) AS term, 4 AS w FROM sym),
-c AS (SELECT path, term, sum(w) AS count FROM w WHERE strlen(term) >= 3 AND term NOT IN {STOP} GROUP BY 1, 2), h AS (SELECT module, term, sum(count) AS count FROM c JOIN members USING (path) GROUP BY 1, 2),
-df AS (SELECT term, count(*) AS df FROM h GROUP BY 1), m AS (SELECT count(DISTINCT module) AS n FROM members), sc AS (SELECT module, term, count, round(count * ln(1 + n / df), 6) AS score FROM h JOIN df USING (term), m)"""
+TERM_STOP = "(" + ", ".join(f"'{w}'" for w in modules.TERM_STOPWORDS) + ")"
+MODULE_TERMS = f"""{MEMBERS}, sym AS (SELECT path, name FROM (WITH {SYMBOLS} SELECT path, name FROM symbols)),
+pieces AS (SELECT path, unnest(regexp_split_to_array(path, '[/. +_-]')) AS token FROM files),
+w AS (SELECT path, unnest({sql_parts('name')}) AS term, 2 AS w FROM sym UNION ALL SELECT path, unnest({sql_parts('token')}) AS term, 1 FROM pieces WHERE token <> ''),
+c AS (SELECT path, term, sum(w) AS count FROM w WHERE strlen(term) >= 3 AND regexp_matches(term, '[A-Za-z]') AND term NOT IN {TERM_STOP} GROUP BY 1, 2), h AS (SELECT module, term, sum(count) AS count FROM c JOIN members USING (path) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM h GROUP BY 1), m AS (SELECT count(DISTINCT module) AS n FROM members), sc AS (SELECT module, term, count, round(count * ln(1 + n / df), 2) AS score FROM h JOIN df USING (term), m)"""
 
 
 @query(f"WITH {MODULE_TERMS} SELECT module, term, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY score DESC, count DESC, term) AS rank FROM sc) WHERE rank <= 12")
 def module_terms(s, d):
-    counts = modules.term_counts(V.files(s, d).limit(0), V.symbols(_lines(s, d)))
-    return modules.ranked_terms(counts, _members(s, d))
-
-
-# MODULE_TERMS with path tokens, which weigh one
-MODULE_TERMS_PATHS = MODULE_TERMS.replace("c AS (SELECT path, term", f"""paths AS (SELECT path, unnest({sql_parts('token')}) AS term, 1 AS w FROM (SELECT path, unnest(regexp_extract_all(path, {IDENT})) AS token FROM files)),
-both_w AS (SELECT * FROM w UNION ALL SELECT * FROM paths), c AS (SELECT path, term""").replace("AS count FROM w WHERE", "AS count FROM both_w WHERE")
-
-
-@query(f"WITH {MODULE_TERMS_PATHS} SELECT module, term, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY score DESC, count DESC, term) AS rank FROM sc) WHERE rank <= 12")
-def module_terms_paths(s, d):
-    """module_terms with the tokens of paths, as module_map has them."""
-    counts = modules.term_counts(V.files(s, d), V.symbols(_lines(s, d)))
-    return modules.ranked_terms(counts, _members(s, d))
+    return modules.ranked_terms(modules.term_counts(V.files(s, d), V.symbols(_lines(s, d))), _members(s, d))
 
 
 @query(f"""WITH {MEMBERS}, {FILE_DEPS}, b AS (SELECT x.module AS ma, y.module AS mb FROM deps JOIN members x ON x.path = src JOIN members y ON y.path = dst),
@@ -664,21 +621,21 @@ def module_central(s, d):
     return modules.central_files(_members(s, d), _file_deps(s, d), V.symbols(_lines(s, d)))
 
 
-_LIFE = "(" + ", ".join(f"'{w}'" for w in modules.LIFECYCLE) + ")"
-_NOUNS = " + ".join(f"CASE WHEN contains(lower(name), '{w}') THEN 3 ELSE 0 END" for w in modules.NOUNS)
+_LIFE = "('awake', 'start', 'init', 'initialize', 'run', 'execute', 'process', 'update')"
+# the corpus' symbols are of no kind that business nouns count for
 ENTRIES = f"""{SYMBOLS}, members AS (SELECT path, split_part(path, '/', 1) AS module FROM files),
 es AS (SELECT module, name, path, line_start, (CASE WHEN lower(name) IN {_LIFE} THEN 4 ELSE 0 END + CASE WHEN starts_with(lower(name), 'on') OR starts_with(lower(name), 'handle') THEN 3 ELSE 0 END
-  + CASE WHEN regexp_matches(lower(path), '(^|/)(controllers?|services?|api|handlers?)/') THEN 2 ELSE 0 END + {_NOUNS} + 1)::BIGINT AS score FROM symbols JOIN members USING (path)),
-entries AS (SELECT module, name, path, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY score DESC, name, path, line_start) AS rank FROM es) WHERE rank <= 5)"""
+  + CASE WHEN regexp_matches(lower(path), '/(controllers?|managers?|services?|views?)/') THEN 2 ELSE 0 END)::BIGINT AS score FROM symbols JOIN members USING (path)),
+entries AS (SELECT module, name, path, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY score DESC, path, line_start, name) AS rank FROM es WHERE score > 0) WHERE rank <= 5)"""
 
 
 @query(f"""WITH {ENTRIES}, {FILE_DEPS}, b AS (SELECT x.module AS ma, y.module AS mb FROM deps JOIN members x ON x.path = src JOIN members y ON y.path = dst),
-f AS (SELECT module, count(*) AS files FROM members GROUP BY 1), t AS (SELECT module, sum(i) AS inside, sum(o) AS outside FROM (SELECT ma AS module, (ma = mb)::INT AS i, (ma <> mb)::INT AS o FROM b UNION ALL SELECT mb, 0, 1 FROM b WHERE ma <> mb) GROUP BY 1),
-e AS (SELECT module, count(*) AS n FROM entries GROUP BY 1), c AS (SELECT module, files, coalesce(inside, 0) AS i, coalesce(outside, 0) AS o, coalesce(n, 0) AS n FROM f LEFT JOIN t USING (module) LEFT JOIN e USING (module))
-SELECT module, files, round(greatest(0.0, least(1.0, 0.35 * round(CASE WHEN i + o = 0 THEN 1.0 ELSE i / (i + o) END, 6) + least(ln(1 + files) / 5, 0.35) + least(0.03 * n, 0.15) + CASE WHEN o > 0 THEN 0.05 ELSE 0.0 END))::DOUBLE, 6) AS confidence FROM c""")
+f AS (SELECT module, count(*) AS files, count(DISTINCT regexp_replace(path, '/[^/]*$', '')) AS roots FROM members GROUP BY 1), t AS (SELECT module, sum(i) AS inside, sum(o) AS outside FROM (SELECT ma AS module, (ma = mb)::INT AS i, (ma <> mb)::INT AS o FROM b UNION ALL SELECT mb, 0, 1 FROM b WHERE ma <> mb) GROUP BY 1),
+e AS (SELECT module, count(*) AS n FROM entries GROUP BY 1), c AS (SELECT module, files, roots, coalesce(inside, 0) AS i, coalesce(outside, 0) AS o, coalesce(n, 0) AS n FROM f LEFT JOIN t USING (module) LEFT JOIN e USING (module))
+SELECT module, files, round(greatest(0.0, least(1.0, 0.35 * round(CASE WHEN i + o = 0 THEN 1.0 ELSE i / (i + o) END, 6) + least(ln(1 + files) / 5, 0.35) + least(0.03 * n, 0.15) + CASE WHEN roots > 1 THEN 0.05 ELSE 0.0 END))::DOUBLE, 2) AS confidence FROM c""")
 def module_confidence(s, d):
     members = _members(s, d)
-    return modules.confidence(modules.edge_counts(members, _file_deps(s, d)), modules.entry_points(V.symbols(_lines(s, d)), members))
+    return modules.confidence(modules.edge_counts(members, _file_deps(s, d)), modules.entry_points(V.symbols(_lines(s, d)), members), members)
 
 
 @query(f"WITH {MEMBERS}, n AS (SELECT module, split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS root, count(*) AS files FROM members GROUP BY 1, 2) SELECT module, root, files, rank FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY files DESC, root) AS rank FROM n) WHERE rank <= 3")
@@ -691,6 +648,36 @@ def entry_points(s, d):
     return modules.entry_points(V.symbols(_lines(s, d)), _members(s, d))
 
 
+# Names, kinds and paths with the scores that the fixed values give: noun bonus 3 each, lifecycle 4, handlers 3, folders 2.
+NAMED = [
+    ("m", "a/Services/PlayerService.cs", "PlayerService", "class", 1), ("m", "a/services/x.cs", "process", "method", 4), ("m", "a/b/c.cs", "OnOpen", "method", 9), ("m", "a/b/c.cs", "Main", "method", 2),
+    ("m", "a/b/c.cs", "EventListenerModel", "enum", 3), ("m", "a/b/c.cs", "routerView", "field", 5), ("n", "a/view/p.cs", "HandlePanel", "function", 1), ("n", "a/b/d.cs", "Plain", "record", 7), ("n", "top.cs", "setup", "function", 1),
+]
+
+
+def _named(s):
+    rows = s.createDataFrame(NAMED, "module string, path string, name string, kind string, line_start bigint")
+    return rows.drop("module"), rows.select("path", "module").distinct()
+
+
+@query("""SELECT * FROM (VALUES ('m', 'process', 'a/services/x.cs', 6::BIGINT, 1::BIGINT), ('m', 'PlayerService', 'a/Services/PlayerService.cs', 5, 2), ('m', 'OnOpen', 'a/b/c.cs', 3, 3),
+  ('n', 'HandlePanel', 'a/view/p.cs', 8, 1)) v(module, name, path, score, rank)""")
+def entry_points_by_kind(s, d):
+    return modules.entry_points(*_named(s))
+
+
+@query("""SELECT * FROM (VALUES ('m', 'EventListenerModel', 'enum', 'a/b/c.cs', 3::BIGINT, 14::BIGINT, 1::BIGINT), ('m', 'PlayerService', 'class', 'a/Services/PlayerService.cs', 1, 11, 2), ('m', 'routerView', 'field', 'a/b/c.cs', 5, 8, 3),
+  ('m', 'Main', 'method', 'a/b/c.cs', 2, 4, 4), ('m', 'OnOpen', 'method', 'a/b/c.cs', 9, 4, 5), ('n', 'HandlePanel', 'function', 'a/view/p.cs', 1, 7, 2), ('n', 'Plain', 'record', 'a/b/d.cs', 7, 8, 1),
+  ('n', 'setup', 'function', 'top.cs', 1, 4, 3)) v(module, name, kind, path, line_start, score, rank)""")
+def key_symbols(s, d):
+    return modules.key_symbols(*_named(s))
+
+
+@query(f"WITH {MEMBERS} SELECT module, language, count(*) AS files FROM members JOIN files USING (path) GROUP BY 1, 2")
+def module_languages(s, d):
+    return modules.languages(V.files(s, d), _members(s, d))
+
+
 @query()
 def module_map(s, d):
     return modules.module_map(V.files(s, d), _file_deps(s, d), V.symbols(_lines(s, d)))
@@ -764,20 +751,123 @@ def pipeline_find_filter_limit(s, d):
     return pipeline.run(f, lines, V.symbols(lines), [{"op": "search", "query": "license"}, {"op": "filter", "glob": "**/en/*"}, {"op": "limit", "n": 15}])
 
 
-@query(f"""WITH {SYMBOLS}, t AS (SELECT name FROM symbols GROUP BY name HAVING count(*) BETWEEN 1 AND 2), w AS (SELECT DISTINCT path, line, unnest(regexp_extract_all(text, {IDENT})) AS name FROM lines)
+@query(f"""WITH {SYMBOLS}, t AS (SELECT DISTINCT name FROM symbols), w AS (SELECT DISTINCT path, line, unnest(regexp_extract_all(text, {IDENT})) AS name FROM lines)
 SELECT w.name, w.path, w.line FROM w JOIN t USING (name) LEFT JOIN symbols s ON s.name = w.name AND s.path = w.path AND s.line_start = w.line WHERE s.name IS NULL""")
 def callers_lines(s, d):
     lines = _lines(s, d)
     symbols = V.symbols(lines)
-    rare = symbols.groupBy("name").agg(F.count("*").alias("n")).filter("n <= 2").select("name")
-    return callers.candidates(index.word_hits(lines), lines, symbols, rare).select("name", "path", "line")
+    return callers.candidates(index.word_hits(lines), lines, symbols, symbols).select("name", "path", "line")
 
 
+@query(f"WITH {SYMBOLS} SELECT name, 'symbol' AS kind, line_start, line_end FROM ranges WHERE path = (SELECT path FROM files WHERE doc_id = 11)")
+def outline_file(s, d):
+    path = V.files(s, d).filter("doc_id = 11").select("path").first()["path"]
+    return lookups.outline(_ranges(s, d), path)
 
-@query(f"""WITH {SYMBOLS}, t AS (SELECT DISTINCT name FROM symbols), w AS (SELECT DISTINCT path, line, unnest(regexp_extract_all(text, {IDENT})) AS name FROM lines)
-SELECT w.name, w.path, w.line FROM w JOIN t USING (name) LEFT JOIN symbols s ON s.name = w.name AND s.path = w.path AND s.line_start = w.line WHERE s.name IS NULL""")
-def callers_lines_all(s, d):
-    """callers_lines for all symbol names, however many definitions they have."""
-    lines = _lines(s, d)
-    symbols = V.symbols(lines)
-    return callers.candidates(index.word_hits(lines), lines, symbols, symbols).select("name", "path", "line")
+
+@query(f"WITH {SYMBOLS} SELECT r.path, r.name, 'symbol' AS kind, line_start, line_end, string_agg(text, chr(10) ORDER BY line) AS body FROM ranges r JOIN lines l ON l.path = r.path AND line BETWEEN line_start AND line_end WHERE name = 'The' GROUP BY ALL")
+def symbol_bodies(s, d):
+    return lookups.symbols_named(_ranges(s, d), "The", _lines(s, d))
+
+
+@query(f"""WITH {FILES}, p AS (SELECT path, lower(path) AS low FROM files), c AS (SELECT path, round(100 + 6.0 / strlen(low), 6) AS score FROM p WHERE contains(low, 'en/d10'))
+SELECT path, score FROM c ORDER BY 2 DESC, 1 LIMIT 5""")
+def did_you_mean(s, d):
+    return lookups.suggestions(V.files(s, d), "en/d10")
+
+
+# Source trees: parsing, dependencies, graph and callers over plans/samples.py; the expected rows are written out
+
+
+def _values(columns: str, rows: list[tuple]) -> str:
+    cell = lambda x: "NULL" if x is None else f"{x}::BIGINT" if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) v({columns})"
+
+
+PARSED = [
+    ("cs/A/Gem.cs", "Gem", "class", 2, 2), ("cs/B/Orb.cs", "Orb", "class", 2, 2), ("cs/C/Use.cs", "Use", "class", 2, 2), ("cs/C/Use.cs", "g", "field", 3, 3), ("cs/C/Use.cs", "o", "field", 4, 4),
+    ("cs/C/Use.cs", "s", "field", 6, 6), ("cs/D/Util.cs", "Util", "class", 2, 2), ("cs/D/XAttribute.cs", "XAttribute", "class", 2, 2), ("cs/D/Things.cs", "Ring", "class", 2, 3), ("cs/D/Things.cs", "Size", "property", 4, 4),
+    ("cs/D/Things.cs", "Turn", "method", 5, 8), ("cs/E/Mark.cs", "Mark", "class", 5, 5), ("cs/E/Mark.cs", "r", "field", 6, 6), ("cs/E/Mark.cs", "x", "field", 7, 7), ("java/p/Jade.java", "Jade", "class", 2, 2),
+    ("java/p/Jade.java", "facets", "field", 3, 3), ("java/p/Jade.java", "cut", "method", 4, 6), ("java/p/Ore.java", "Ore", "class", 2, 2), ("java/q/Use.java", "Use", "class", 3, 3), ("java/q/Use.java", "g", "field", 4, 4),
+    ("java/q/Use.java", "o", "field", 5, 5), ("java/r/All.java", "All", "class", 3, 3), ("java/r/All.java", "g", "field", 4, 4), ("rs/src/lib.rs", "m", "module", 1, 1), ("rs/src/m.rs", "A1", "struct", 1, 1),
+    ("rs/src/m.rs", "B1", "struct", 2, 2), ("rs/src/use_it.rs", "f", "function", 2, 2), ("lua/scripts/game/player.lua", "jump", "method", 2, 4), ("lua/main.lua", "go", "function", 2, 4),
+]
+RESOLVED = [
+    ("cs/C/Use.cs", "cs/A/Gem.cs"), ("cs/C/Use.cs", "cs/B/Orb.cs"), ("cs/E/Mark.cs", "cs/A/Gem.cs"), ("cs/E/Mark.cs", "cs/D/Util.cs"), ("cs/E/Mark.cs", "cs/D/XAttribute.cs"), ("cs/E/Mark.cs", "cs/D/Things.cs"),
+    ("java/q/Use.java", "java/p/Jade.java"), ("java/q/Use.java", "java/p/Ore.java"), ("java/r/All.java", "java/p/Jade.java"), ("rs/src/lib.rs", "rs/src/m.rs"), ("rs/src/use_it.rs", "rs/src/m.rs"), ("lua/main.lua", "lua/scripts/game/player.lua"),
+]
+
+
+def _parsed(s):
+    return parse_files(samples.sources(s))
+
+
+@query(_values("path, name, kind, line_start, line_end", PARSED))
+def parse_symbols(s, d):
+    return _parsed(s).select("path", F.explode("symbols").alias("s")).select("path", "s.name", "s.kind", "s.line_start", "s.line_end")
+
+
+@query(_values("path, namespace, imports", [
+    ("cs/A/Gem.cs", "A.One", ""), ("cs/B/Orb.cs", "B.Two", ""), ("cs/C/Use.cs", "C", ""), ("cs/D/Util.cs", "D", ""), ("cs/D/XAttribute.cs", "D", ""), ("cs/D/Things.cs", "D", ""), ("cs/E/Mark.cs", "", "D,D.Util"),
+    ("java/p/Jade.java", "p", ""), ("java/p/Ore.java", "p", ""), ("java/q/Use.java", "q", "p.Jade"), ("java/r/All.java", "r", "p.*"), ("rs/src/lib.rs", "", ""), ("rs/src/m.rs", "", ""), ("rs/src/use_it.rs", "", "crate.m.A1,crate.m.B1"),
+    ("lua/scripts/game/player.lua", "", ""), ("lua/main.lua", "", "game.player"),
+]))
+def parse_imports(s, d):
+    return _parsed(s).select("path", F.coalesce("namespace", F.lit("")).alias("namespace"), F.array_join("imports", ",").alias("imports"))
+
+
+@query(_values("src, dst", RESOLVED))
+def resolve_dependencies(s, d):
+    return deps.resolve(samples.sources(s), _parsed(s))
+
+
+@query(_values("path, name, kind, line_start, line_end", [("a", "outer", "class", 1, 4), ("a", "one", "method", 5, 9), ("a", "two", "method", 10, 14), ("a", "last", "field", 20, 20), ("b", "y", "class", 3, 3), ("b", "x", "class", 3, 9)]))
+def clip_ranges(s, d):
+    return chunks.clip_ranges(samples.ranges(s))
+
+
+def _built(s):
+    parsed = _parsed(s).filter("path LIKE 'cs/%'")
+    symbols = parsed.select("path", F.explode("symbols").alias("s")).select("path", "s.name", "s.kind", "s.line_start")
+    found = deps.resolve(samples.sources(s), _parsed(s)).filter("src LIKE 'cs/%'")
+    return G.build(parsed.select("path", "namespace"), symbols, found)
+
+
+_CS = [r for r in PARSED if r[0].startswith("cs/")]
+_SPACES = {"cs/A/Gem.cs": "A.One", "cs/B/Orb.cs": "B.Two", "cs/C/Use.cs": "C", "cs/D/Util.cs": "D", "cs/D/XAttribute.cs": "D", "cs/D/Things.cs": "D"}
+_FILES = sorted({p for p, *_ in _CS})
+
+
+@query(_values("id, label, type, file_path", [(f"file:{p}", p.rpartition("/")[2], "file", p) for p in _FILES] + [(f"namespace:{n}", n, "namespace", None) for n in sorted(set(_SPACES.values()))]
+  + [(f"symbol:{p}:{line}:{n}", n + "()" * (k == "method"), k, p) for p, n, k, line, _ in _CS]))
+def graph_build_nodes(s, d):
+    return _built(s)[0]
+
+
+@query(_values("source, target, relation", [(f"file:{p}", f"namespace:{n}", "declares_namespace") for p, n in _SPACES.items()] + [(f"file:{p}", f"symbol:{p}:{line}:{n}", "contains") for p, n, _, line, _ in _CS]
+  + [(f"namespace:{_SPACES[p]}", f"symbol:{p}:{line}:{n}", "contains") for p, n, _, line, _ in _CS if p in _SPACES] + [(f"file:{a}", f"file:{b}", "depends_on") for a, b in RESOLVED if a.startswith("cs/")]))
+def graph_build_edges(s, d):
+    return _built(s)[1].select("source", "target", "relation")
+
+
+@query(_values("name, target_path, path, line", [("Ring", "cs/D/Things.cs", "cs/E/Mark.cs", 6), ("Gem", "cs/A/Gem.cs", "cs/C/Use.cs", 3), ("Jade", "java/p/Jade.java", "java/q/Use.java", 4), ("Jade", "java/p/Jade.java", "java/r/All.java", 4)]))
+def callers_visible(s, d):
+    """Uses of three classes: not those in comments and strings, behind a foreign dot, or out of sight."""
+    lines = V.lines(samples.sources(s))
+    targets = s.createDataFrame([("Ring", "cs/D/Things.cs", "D", "class"), ("Gem", "cs/A/Gem.cs", "A.One", "class"), ("Jade", "java/p/Jade.java", "p", "class")], "name string, path string, namespace string, kind string")
+    return callers.callers(index.word_hits(lines), lines, _parsed(s), targets).select("name", "target_path", "path", "line")
+
+
+@query(f"""{COMMUNITIES}, sz AS (SELECT community, count(*) AS members, count(DISTINCT file_path) AS files FROM communities JOIN nodes USING (id) GROUP BY 1),
+i AS (SELECT a.community, count(*) AS internal FROM deps JOIN communities a ON a.id = src JOIN communities b ON b.id = dst WHERE a.community = b.community GROUP BY 1),
+l AS (SELECT community, CASE WHEN NOT contains(file_path, '/') THEN file_path || '/' || type ELSE split_part(file_path, '/', 1) || '/' || split_part(file_path, '/', 2) END AS label, count(*) AS n FROM communities JOIN nodes USING (id) GROUP BY 1, 2),
+b AS (SELECT community, label FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY n DESC, label) AS r FROM l) WHERE r = 1)
+SELECT community, label, members, files, round(CASE WHEN members <= 1 THEN 1.0 ELSE coalesce(internal, 0) / (members * (members - 1) / 2) END, 6) AS cohesion, row_number() OVER (ORDER BY members DESC, community) AS rank FROM sz JOIN b USING (community) LEFT JOIN i USING (community)""")
+def community_overview(s, d):
+    edges = V.foreign_keys(s, d).select(F.col("src").alias("source"), F.col("dst").alias("target"))
+    return G.community_overview(_communities(s, d), V.key_nodes(s, d), edges, 1 << 30)
+
+
+@query(f"{COMMUNITIES}, m AS (SELECT id, label, type, degree FROM communities JOIN nodes USING (id) JOIN degree USING (id) WHERE community = 'ASIA/NATION_2') SELECT id, label, type, degree FROM m ORDER BY degree DESC, id LIMIT 10")
+def community_members(s, d):
+    return G.community_members(_communities(s, d), V.key_nodes(s, d), _edges(s, d), "ASIA/NATION_2", 10)

@@ -145,3 +145,29 @@ def test_label_propagation_takes_seeds(spark):
     seeds = spark.createDataFrame([("a", "x/y"), ("b", "x/y"), ("c", "x/y"), ("d", "x/z")], "id string, community string")
     for solve in (communities.label_propagation, communities.label_propagation_synchronous):
         assert dict(map(tuple, solve(nodes, edges, seeds=seeds).select("id", "community").collect())) == {"a": "x/y", "b": "x/y", "c": "x/y", "d": "x/z", "e": "e"}
+
+
+def test_community_labels_and_features(spark):
+    nodes = spark.createDataFrame([("f1", "a", "file", "src/game/Login/LoginView.cs"), ("f2", "b", "file", "src/game/Login/LoginModel.cs"), ("f3", "c", "file", "src/game/Bag/BagItem.cs"), ("s", "S", "class", "src/game/Bag/BagItem.cs")], "id string, label string, type string, file_path string")
+    groups = spark.createDataFrame([("f1", "1"), ("f2", "1"), ("f3", "2"), ("s", "2")], "id string, community string")
+    labelled = spark.createDataFrame([("1", "src/game"), ("2", "src/game")], "community string, label string")
+    got = {r["community"]: r["label"] for r in graph.distinct_labels(labelled, groups, nodes).collect()}
+    assert got == {"1": "src/game :: Login/LoginModel.cs", "2": "src/game :: Bag/BagItem.cs"}
+    alone = labelled.filter("community = '1'")
+    assert graph.distinct_labels(alone, groups, nodes).first()["label"] == "src/game"
+    paths = groups.join(nodes, "id").selectExpr("community", "file_path path")
+    assert {r["community"]: r["token"] for r in graph.feature_keys(paths).collect()} == {"1": "login", "2": "bag"}
+    tokens = graph.path_tokens(nodes.filter("id = 'f1'").selectExpr("file_path path"))
+    assert sorted(r["token"] for r in tokens.collect()) == ["login", "src"]
+    edges = _edges(spark, [("f1", "f3"), ("s", "f1")])
+    over = {r["community"]: tuple(r) for r in graph.community_overview(groups, nodes, edges).select("community", "label", "members", "files", "rank").collect()}
+    assert over["1"][2:] == (2, 2, 1) and over["2"][2:] == (2, 1, 2) and " :: " in over["1"][1]
+    row = spark.range(1).select(graph.summary(F.lit("A"), F.lit("class"), F.lit(2), F.lit(3)).alias("s"), graph.considered(F.lit("Bag"), F.lit("Box")).alias("a"), graph.considered(F.lit("int"), F.lit("Box")).alias("b"), graph.considered(F.lit("_12"), F.lit("Box")).alias("c")).first()
+    assert row["s"] == "`A` is a class node that is moderately connected (5 total edges: 2 incoming, 3 outgoing)." and (row["a"], row["b"], row["c"]) == (True, False, False)
+
+
+def test_edge_weights_of_files(spark):
+    nodes = spark.createDataFrame([("a", "a"), ("b", "b")], "id string, file_path string")
+    rows = [("a", "b", "references", 0.01), ("a", "b", "module_reference", 0.5), ("a", "b", "depends_on", 2.0), ("a", "b", "feature_affinity", 0.4), ("a", "b", "contains", 9.0)]
+    edges = spark.createDataFrame(rows, "source string, target string, relation string, weight double")
+    assert graph.project_to_files(edges, nodes).first()["weight"] == 0.2 + 3.0 + 2.0 + 0.4
