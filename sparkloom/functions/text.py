@@ -29,7 +29,8 @@ def split_identifier(token: Column) -> Column:
     snake = F.filter(F.split(whole, "_"), lambda p: p != "")
     camel = F.transform(F.split(F.regexp_replace(token, _BOUNDARY, "\u0001"), "\u0001"), F.lower)
     parts = F.when(token.contains("_"), snake).otherwise(camel)
-    return F.when(F.size(parts) >= 2, F.concat(F.array(whole), parts)).otherwise(F.array(whole))
+    # a plain word is its own only part: most tokens need no other test
+    return F.when(token.rlike("^[A-Z]?[a-z]+$"), F.array(whole)).when(F.size(parts) >= 2, F.concat(F.array(whole), parts)).otherwise(F.array(whole))
 
 
 def tokenize(text: Column) -> Column:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
+from sparkloom.sources.scratch import written
 
 RANK = {"EXTRACTED": 3, "INFERRED": 2, "AMBIGUOUS": 1}
 STRUCTURAL = ("contains", "declares_namespace", "depends_on", "imports")
@@ -19,20 +18,6 @@ FEATURE_STOPWORDS = (
 ).split()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows from a table in the shared checkpoint folder, so that a loop's lineage ends at each step."""
-    import tempfile
-
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="sparkloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def symbol_id(path: Column, line: Column, name: Column) -> Column:
     return F.concat_ws(":", F.lit("symbol"), path, line.cast("string"), name)
 
@@ -63,11 +48,16 @@ def build(files: DataFrame, symbols: DataFrame, deps: DataFrame) -> tuple[DataFr
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
-    """One edge for each (source, target, relation): weights add up, the highest confidence stays, self loops go."""
+    """One edge for each (source, target, relation): weights add up, the highest confidence stays, self loops go.
+
+    Of file, line and score, where edges have them, those of the edge of the highest confidence stay; of equals the first by file and line.
+    """
     rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in RANK.items() for x in pair)), "confidence"), F.lit(0))
-    return edges.filter("source <> target").groupBy("source", "target", "relation").agg(
-        F.sum("weight").alias("weight"), F.count("*").alias("merge_count"), F.max_by("confidence", rank).alias("confidence")
-    )
+    places = [c for c in ("file", "line", "score") if c in edges.columns]
+    order = F.struct(-rank, *(F.col(c) for c in places))
+    best = F.min_by(F.struct("confidence", *places), order).alias("best") if places else F.max_by(F.struct("confidence"), rank).alias("best")
+    merged = edges.filter("source <> target").groupBy("source", "target", "relation").agg(F.sum("weight").alias("weight"), F.count("*").alias("merge_count"), best)
+    return merged.select("source", "target", "relation", "weight", "merge_count", "best.*")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
@@ -67,6 +67,27 @@ def read_lines(lines: DataFrame, path: str, first: int = 1, last: int | None = N
     return out.select("line", "text").orderBy("line")
 
 
+def defines(content: Column, name: str) -> Column:
+    """Whether a text seems to define the name: a type keyword before it, or a bracket behind it."""
+    return F.reduce(F.array(*(F.contains(content, F.lit(x)) for x in [*(f"{kind} {name}" for kind in ("class", "interface", "struct", "enum", "record")), f" {name}("])), F.lit(False), lambda a, b: a | b)
+
+
+def file_texts(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """path and the text that stands for a file in semantic search: path, stem and folder, namespace, imports, and its symbols by line.
+
+    files holds path, namespace and imports; symbols path, name, kind and line_start.
+    """
+    named = symbols.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_start", "kind", "name"))).alias("s"))
+    held = files.join(named, "path", "left")
+    lines = F.concat(
+        F.array(F.col("path"), F.concat_ws(" ", X.stem(F.col("path")), X.parent_name(F.col("path")))),
+        F.when(F.col("namespace").isNotNull(), F.array(F.concat(F.lit("namespace "), F.col("namespace")))).otherwise(F.array().cast("array<string>")),
+        F.transform(F.coalesce("imports", F.array().cast("array<string>")), lambda i: F.concat(F.lit("import "), i)),
+        F.coalesce(F.transform("s", lambda x: F.concat_ws(" ", x["kind"], x["name"])), F.array().cast("array<string>")),
+    )
+    return held.select("path", F.array_join(lines, "\n").alias("text"))
+
+
 def grep(lines: DataFrame, query: str, regex: bool = False, pattern: str | None = None, skip_comments: bool = False, limit: int | None = None) -> DataFrame:
     """path, line, text of lines with a match, case ignored, by path and line."""
     hit = F.col("text").rlike(f"(?i){query}") if regex else F.contains(F.lower("text"), F.lit(query.lower()))

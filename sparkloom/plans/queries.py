@@ -250,9 +250,10 @@ def symbol_definition_chunks(s, d):
 
 
 def _posted(s, d):
+    """files, and postings and lengths of their stored index."""
     f = V.files(s, d)
-    posted = index.postings(index.document_terms(f, "doc_id", F.col("content")), "doc_id")
-    return f, posted, index.document_lengths(posted, f, "doc_id")
+    held = index.stored(s, "terms", f"{d}/documents.parquet", lambda: index.term_tables(f, "doc_id", F.col("content")))
+    return f, held["postings"], held["lengths"]
 
 
 def _one(s):

@@ -49,7 +49,7 @@ def load_options(toml_text: str) -> ScanOptions:
 
 def kept(path: Column, options: ScanOptions, root: str = "") -> Column:
     """Whether a relative path lies in scope; skipped folder names count below `root` only."""
-    below = F.expr(f"substring({_sql(path)}, {len(root) + 2})") if root else path
+    below = F.substring(path, F.lit(len(root) + 2), F.octet_length(path)) if root else path
     folders = F.slice(F.split(F.lower(below), "/"), F.lit(1), F.greatest(F.size(F.split(below, "/")) - 1, F.lit(0)))
     names = F.array(*map(F.lit, (*SKIPPED, *options.skip_dirs)))
     out = ~F.arrays_overlap(folders, names) & F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(*options.extensions)
@@ -58,10 +58,6 @@ def kept(path: Column, options: ScanOptions, root: str = "") -> Column:
     return out
 
 
-def _sql(column: Column) -> str:
-    return "path" if str(column).find("path") >= 0 else str(column)
-
-
 def in_scope(listing: DataFrame, options: ScanOptions, ignore_text: str = "") -> DataFrame:
     """Rows of listing (path relative to the root, …) that a scan reads: roots by ignore rules, included folders without them."""
     path, rules = F.col("path"), ignore_rules(ignore_text) if options.respect_gitignore else []

@@ -1,10 +1,12 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import communities, export, graph, index, layout, search
+from sparkloom.operators import communities, export, graph, index, layout, lookups, search
 from sparkloom.plans.pipeline import Tools
+from sparkloom.plans.projects import Projects
 from sparkloom.sources import store
 from sparkloom.streaming import changes
 
@@ -171,3 +173,51 @@ def test_edge_weights_of_files(spark):
     rows = [("a", "b", "references", 0.01), ("a", "b", "module_reference", 0.5), ("a", "b", "depends_on", 2.0), ("a", "b", "feature_affinity", 0.4), ("a", "b", "contains", 9.0)]
     edges = spark.createDataFrame(rows, "source string, target string, relation string, weight double")
     assert graph.project_to_files(edges, nodes).first()["weight"] == 0.2 + 3.0 + 2.0 + 0.4
+
+
+def test_merged_edges_keep_the_best_place(spark):
+    rows = [("a", "b", "calls", "INFERRED", 1.0, "x", 1, 0.5), ("a", "b", "calls", "EXTRACTED", 2.0, "z", 9, 0.7), ("a", "b", "calls", "EXTRACTED", 1.0, "y", 3, 0.9), ("a", "a", "calls", "EXTRACTED", 1.0, "y", 3, 0.9)]
+    edges = spark.createDataFrame(rows, "source string, target string, relation string, confidence string, weight double, file string, line int, score double")
+    assert [tuple(r) for r in graph.merge_edges(edges).collect()] == [("a", "b", "calls", 4.0, 3, "EXTRACTED", "y", 3, 0.9)]
+
+
+def test_projects(spark, tmp_path):
+    root = tmp_path / "tree"
+    (root / "src").mkdir(parents=True)
+    (root / "src" / "Login.cs").write_text("namespace G;\npublic class Login\n{\n    public void Open()\n    {\n    }\n}\n")
+    (root / "src" / "Menu.cs").write_text("namespace G;\npublic class Menu\n{\n    Login login;\n}\n")
+    known = Projects(spark, str(tmp_path / "projects"))
+    assert known.projects().count() == 0
+    made = known.index(str(root))
+    assert (made["files"], made["symbols"], made["seq"]) == (2, 4, 1) and made["chunks"] == 2
+    assert known.index(str(root))["seq"] == 2 and [r["root"] for r in known.projects().collect()] == [str(root)]
+    tools = known.tools(str(root))
+    assert [r["path"] for r in tools.call("deps", {"path": "src/Login.cs"})] == ["src/Menu.cs"]
+    assert tools.call("search", {"query": "Login"})[0]["path"] == "src/Login.cs"
+    assert {r["path"] for r in tools.call("search", {"query": "open the login menu"})} == {"src/Login.cs", "src/Menu.cs"}
+    assert [r["line"] for r in tools.call("search", {"query": "login", "path_glob": "**/Menu.cs"})] == [4]
+    assert tools.call("read", {"path": "zzz"}) == [] and tools.call("read", {"path": "src/Logn.cs"})[0]["did_you_mean"] == "src/Login.cs"
+    text = tools.files.filter("path = 'src/Menu.cs'").select(lookups.defines(F.col("content"), "Menu").alias("a"), lookups.defines(F.col("content"), "Login").alias("b"), F.substring(F.sha2("content", 256), 1, 16).alias("h")).first()
+    assert (text["a"], text["b"]) == (True, False)
+    assert tools.call("read", {"path": "src/Menu.cs", "if_hash": text["h"]}) == [{"unchanged": True, "hash": text["h"]}]
+    assert len(tools.call("read", {"path": "src/Menu.cs", "line_start": 2, "line_end": 3})) == 2
+    over = tools.call("communities")
+    assert len(over) == 1 and over[0]["members"] == 2 and len(tools.call("communities", {"community": over[0]["community"]})) == 2
+    told = {r["path"]: r["text"] for r in lookups.file_texts(tools.files, tools.symbols).collect()}
+    assert told["src/Login.cs"] == "src/Login.cs\nLogin src\nnamespace G\nclass Login\nmethod Open"
+
+
+def test_scratch_needs_a_shared_folder(spark):
+    from sparkloom.sources import scratch
+
+    held = scratch.written(spark.range(3))
+    assert held.count() == 3
+    path = scratch._own(spark)
+    assert path.startswith(scratch.folder(spark))
+
+    class Far:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"getCheckpointDir": staticmethod(lambda: None), "master": "spark://far:7077"})
+
+    with pytest.raises(RuntimeError):
+        scratch.folder(Far)
