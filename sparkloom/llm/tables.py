@@ -1,13 +1,14 @@
-"""Reading inputs, written intermediate tables and bounded membership bitmaps."""
+"""Reading inputs and bounded membership bitmaps; written tables come from the library's scratch folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.sources.scratch import written
+
+__all__ = ["bitmap", "marked", "maybe_in", "table", "written"]
+
 #: Bits of one row of a bitmap table; fixed by Spark's bitmap functions.
 ROW_BITS = 32768
 #: A broadcast bitmap never exceeds this many bits (16 MB), whatever the input.
@@ -18,24 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not known:
-        known = tempfile.mkdtemp(prefix="sparkloom-")
-        spark.sparkContext.setCheckpointDir(known)
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, read back from Parquet in the shared folder: lineage ends here and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _slot(key: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(bits))
 
