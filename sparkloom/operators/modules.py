@@ -94,14 +94,14 @@ def term_counts(files: DataFrame, symbols: DataFrame | None = None) -> DataFrame
     return out.filter(is_term(F.col("term"))).groupBy("path", "term").agg(F.sum("w").alias("count"))
 
 
-def ranked_terms(counts: DataFrame, members: DataFrame, top: int = 12) -> DataFrame:
-    """module, term, score, rank: count * ln(1 + modules / modules with the term), in hundredths; ties by count, then term."""
+def ranked_terms(counts: DataFrame, members: DataFrame, top: int = 12, counted: bool = False) -> DataFrame:
+    """module, term, score, rank, and the count if `counted`: count * ln(1 + modules / modules with the term), in hundredths; ties by count, then term."""
     held = counts.join(members, "path").groupBy("module", "term").agg(F.sum("count").alias("count"))
     total = members.agg(F.countDistinct("module").alias("modules"))
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     scored = held.join(df, "term").crossJoin(F.broadcast(total)).withColumn("score", F.round(F.col("count") * F.log1p(F.col("modules") / F.col("df")), 2))
     order = Window.partitionBy("module").orderBy(F.desc("score"), F.desc("count"), "term")
-    return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= top).select("module", "term", "score", "rank")
+    return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= top).select("module", "term", "score", "rank", *(["count"] if counted else []))
 
 
 def labels(terms: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
-from sparkloom.operators import callers, chunks, communities, deps, export, index, layout, lookups, modules, search
+from sparkloom.operators import atlas, callers, chunks, communities, deps, export, index, layout, lookups, modules, search
 from sparkloom.operators import graph as G
 from sparkloom.operators.parse import parse_files
 from sparkloom.plans import pipeline, samples
@@ -872,3 +872,24 @@ def community_overview(s, d):
 @query(f"{COMMUNITIES}, m AS (SELECT id, label, type, degree FROM communities JOIN nodes USING (id) JOIN degree USING (id) WHERE community = 'ASIA/NATION_2') SELECT id, label, type, degree FROM m ORDER BY degree DESC, id LIMIT 10")
 def community_members(s, d):
     return G.community_members(_communities(s, d), V.key_nodes(s, d), _edges(s, d), "ASIA/NATION_2", 10)
+
+
+@query(f"""WITH {MEMBERS}, {FILE_DEPS}, sc AS (SELECT module, count(*) AS files FROM members GROUP BY 1),
+b AS (SELECT x.module AS ma, y.module AS mb FROM deps JOIN members x ON x.path = src JOIN members y ON y.path = dst),
+t AS (SELECT module, sum(i) AS inside, sum(o) AS outside FROM (SELECT ma AS module, (ma = mb)::INT AS i, (ma <> mb)::INT AS o FROM b UNION ALL SELECT mb, 0, 1 FROM b WHERE ma <> mb) GROUP BY 1)
+SELECT module, files, coalesce(inside, 0)::BIGINT AS internal, coalesce(outside, 0)::BIGINT AS boundary, 4::BIGINT AS sentences FROM sc LEFT JOIN t USING (module)""")
+def atlas_modules(s, d):
+    made, _ = atlas.build(V.files(s, d), _file_deps(s, d), V.symbols(_lines(s, d)), _members(s, d))
+    return made.select("module", "files", "internal", (F.col("outgoing") + F.col("incoming")).alias("boundary"), F.size("evidence").cast("bigint").alias("sentences"))
+
+
+@query(f"""WITH {MEMBERS}, {FILE_DEPS} SELECT path, (SELECT count(*) FROM deps WHERE src = path)::BIGINT AS depends_on, least((SELECT count(*) FROM deps WHERE dst = path), 64)::BIGINT AS depended_by FROM members""")
+def atlas_points(s, d):
+    _, points = atlas.build(V.files(s, d), _file_deps(s, d), V.symbols(_lines(s, d)), _members(s, d))
+    return points.select("path", F.size("depends_on").cast("bigint").alias("depends_on"), F.size("depended_by").cast("bigint").alias("depended_by"))
+
+
+@query(f"WITH {FILES}, {FILE_DEPS} SELECT (SELECT count(*) FROM files) + (SELECT count(DISTINCT language) FROM files) AS nodes, (SELECT count(*) FROM files) + (SELECT count(*) FROM deps) AS edges, (SELECT count(*) FROM files) - (SELECT count(*) FROM deps) AS communities")
+def graph_estimate(s, d):
+    """Each document has one smaller one to depend on, so dependencies make a forest: files less edges are its trees."""
+    return atlas.graph_estimate(V.files(s, d).withColumn("namespace", F.col("language")), _file_deps(s, d))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import communities, export, graph, index, layout, lookups, search
+from sparkloom.operators import atlas, communities, export, graph, index, layout, lookups, search
 from sparkloom.plans.pipeline import Tools
 from sparkloom.plans.projects import Projects
 from sparkloom.sources import store
@@ -221,3 +221,26 @@ def test_scratch_needs_a_shared_folder(spark):
 
     with pytest.raises(RuntimeError):
         scratch.folder(Far)
+
+
+def test_atlas(spark, tmp_path):
+    names = ["src/login/LoginView.cs", "src/login/LoginStore.cs", "src/bag/BagView.cs", "src/bag/BagStore.cs", "top.cs"]
+    files = spark.createDataFrame([(p, "csharp", "G") for p in names], "path string, language string, namespace string")
+    members = spark.createDataFrame([(p, p.split("/")[1] if "/" in p else "top") for p in names], "path string, module string")
+    deps = spark.createDataFrame([(names[0], names[1]), (names[2], names[3]), (names[2], names[0])], "src string, dst string")
+    symbols = spark.createDataFrame([(p, p.rpartition("/")[2][:-3], "class", 1) for p in names], "path string, name string, kind string, line_start long")
+    made, points = atlas.build(files, deps, symbols, members)
+    rows = {r["module"]: r for r in made.collect()}
+    assert set(rows) == {"login", "bag"} and rows["bag"]["id"] == 0 and rows["bag"]["languages"][0]["language"] == "C#" and rows["login"]["label"].startswith("login")
+    assert rows["bag"]["evidence"] == ["2 files and 2 indexed symbols", "dependency cohesion 0.50 from 1 internal and 1 boundary dependency edges", "semantic neighbor density 1.00"]
+    assert [x["name"] for x in rows["bag"]["key_symbols"]] == ["BagView", "BagStore"]
+    at = {r["path"]: r for r in points.collect()}
+    assert len(at) == 4 and at[names[2]]["depends_on"] == sorted([at[names[3]]["id"], at[names[0]]["id"]]) and at[names[0]]["depended_by"] == [at[names[2]]["id"]]
+    atlas.write(made, points, str(tmp_path / "atlas"))
+    assert spark.read.json(str(tmp_path / "atlas" / "modules")).count() == 2 and spark.read.json(str(tmp_path / "atlas" / atlas.POINTS_FILE)).count() == 4
+    found = spark.createDataFrame([("bag", names[2], 0.914, 1), ("bag", names[0], 0.5, 2)], "module string, path string, score double, rank long")
+    assert {(r["path"], r["in_module"], r["density"]) for r in atlas.neighbours(found, members).collect()} == {(names[2], True, 0.5), (names[0], False, 0.5)}
+    groups = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "id string, community string")
+    keys = spark.createDataFrame([("1", "login"), ("2", "login"), ("3", "bag")], "community string, token string")
+    assert {r["id"]: r["community"] for r in atlas.by_feature(groups, keys).collect()} == {"a": "Login", "b": "Login", "c": "3"}
+    assert tuple(atlas.graph_estimate(files, deps).first()) == (6, 8, 2)
