@@ -771,10 +771,10 @@ def symbol_bodies(s, d):
     return lookups.symbols_named(_ranges(s, d), "The", _lines(s, d))
 
 
-@query(f"""WITH {FILES}, p AS (SELECT path, lower(path) AS low FROM files), c AS (SELECT path, round(100 + 6.0 / strlen(low), 6) AS score FROM p WHERE contains(low, 'en/d10'))
+@query(f"""WITH {FILES}, p AS (SELECT path, lower(path) AS low FROM files), c AS (SELECT path, round(100 + 4.0 / strlen(low), 6) AS score FROM p WHERE contains(low, 'src1'))
 SELECT path, score FROM c ORDER BY 2 DESC, 1 LIMIT 5""")
 def did_you_mean(s, d):
-    return lookups.suggestions(V.files(s, d), "en/d10")
+    return lookups.suggestions(V.files(s, d), "src1")
 
 
 # Source trees: parsing, dependencies, graph and callers over plans/samples.py; the expected rows are written out
