@@ -148,7 +148,7 @@ def default_vocabulary() -> tuple[str, str]:
 
 
 def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """docs with out_col: the ids of the text (array of int; null counts as empty, empty text has no ids)."""
+    """docs with out_col: the ids of the text (array of int; null counts as empty, empty text has no ids). Rows stand alone: repeated ones each have their ids."""
     path, pattern = (path, pattern) if path else default_vocabulary()
     schema = T.StructType([*(f for f in docs.schema if f.name != out_col), T.StructField(out_col, T.ArrayType(T.IntegerType(), False))])
     names = schema.names[:-1]
@@ -168,7 +168,7 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", path:
 
 
 def decode(docs: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """docs with out_col: the bytes that the ids stand for (null ids count as none)."""
+    """docs with out_col: the bytes that the ids stand for (null ids count as none). Rows stand alone."""
     path, pattern = (path, pattern) if path else default_vocabulary()
     schema = T.StructType([*(f for f in docs.schema if f.name != out_col), T.StructField(out_col, T.BinaryType())])
     names = schema.names[:-1]
