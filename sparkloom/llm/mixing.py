@@ -30,6 +30,8 @@ BLOCK_ROWS = 4096
 MOST_BLOCKS = 1 << 28
 #: Shards: one for SHARD_WORDS words of the mix, SHARDS at least.
 SHARDS, SHARD_WORDS = 64, 5_000_000
+#: The most partitions that shards are written to.
+PARTITIONS = 1 << 17
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
@@ -184,7 +186,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_words: int = SHARD_WORDS, seed: int = 7, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """The mix itself: each document's columns as often as it is drawn, a shard a partition range, shuffled within shards.
+    """The mix itself: each document's columns as often as it is drawn, a shard a partition (or several, beyond PARTITIONS shards), shuffled within shards.
 
     Rows are drawn one by one, as in mix(): where an id repeats with other texts, each row has draws of its own.
     """
@@ -192,7 +194,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("mx_doc"), *plan._own(docs))
     out = plan.draws(packed).select("mx_doc", "at", F.explode("draws").alias("draw"))
     out = out.select("mx_doc", F.col("draw.shard").alias("shard"), F.xxhash64("at", "draw.copy").alias("turn"))
-    return out.repartition("shard").sortWithinPartitions("shard", "turn").select("mx_doc.*")
+    # by number, not by hash, so that no partition holds several shards while others have none
+    parts = min(plan.shards, PARTITIONS)
+    return out.repartitionById(parts, F.pmod("shard", F.lit(parts)).cast("int")).sortWithinPartitions("shard", "turn").select("mx_doc.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
