@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TARGET = 8192
+#: Files of a batch that are Python objects at a time.
+FILES = 64
 
 
 def clip_ranges(symbols: DataFrame) -> DataFrame:
@@ -71,20 +73,21 @@ def cut_chunks(lines: list[str], ranges: list[tuple[int, int]], target: int = TA
 def chunk_files(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """path, start_line, end_line of every chunk. Each file is one row with its symbol ranges; cutting is sequential within it."""
     ranges = symbols.groupBy("path").agg(F.collect_list(F.struct("line_start", "line_end")).alias("ranges"))
-    joined = files.select("path", "content").join(ranges, "path", "left")
+    joined = files.select("path", "content").join(ranges, "path", "left").select("path", "content", "ranges.line_start", "ranges.line_end")
 
     def work(batches):
         for batch in batches:
-            rows = []
-            for path, content, spans in zip(batch["path"], batch["content"], batch["ranges"], strict=True):
-                lines = (content or "").replace("\r\n", "\n").split("\n")
-                if lines and lines[-1] == "":
-                    lines.pop()
-                spans = [] if spans is None else [(int(s["line_start"]), int(s["line_end"])) for s in spans]
-                rows += [(path, a, b) for a, b in cut_chunks(lines, spans)]
-            yield pd.DataFrame(rows, columns=["path", "start_line", "end_line"])
-
-    return joined.mapInPandas(work, "path string, start_line bigint, end_line bigint")
+            for at in range(0, batch.num_rows, FILES):
+                rows = []
+                for path, content, first, last in zip(*(column.to_pylist() for column in batch.slice(at, FILES).columns), strict=True):
+                    lines = (content or "").replace("\r\n", "\n").split("\n")
+                    if lines and lines[-1] == "":
+                        lines.pop()
+                    rows += [(path, a, b) for a, b in cut_chunks(lines, list(zip(first or (), last or (), strict=True)))]
+                columns = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["path", "start_line", "end_line"])
+
+    return joined.mapInArrow(work, "path string, start_line bigint, end_line bigint")
 
 
 def number_chunks(chunks: DataFrame) -> DataFrame:
